@@ -157,3 +157,32 @@ def page_actions(spark: SparkSession, folder: str) -> DataFrame:
             F.parse_url(F.col("url"), F.lit("HOST")).alias("network_host"),
         )
     )
+
+
+def event_processes(spark: SparkSession, folder: str) -> DataFrame:
+    """A process forest over the users: pid = user + 1, parent pid = pid / 3."""
+    users = table(spark, folder, "events").select("user_id").distinct()
+    pid = F.col("user_id") + 1
+    return users.select(
+        pid.alias("pid"),
+        F.when(pid >= 3, F.floor(pid / 3)).alias("ppid"),
+        F.when(pid % 4 != 0, F.when(pid % 3 == 0, "node /bin/claude --run").when(pid % 3 == 1, "python -m aider")
+               .otherwise("codex exec")).otherwise("bash -c 'Claude Helper'").alias("args"),
+        (pid % 100).cast("double").alias("cpu"),
+        (pid * 1024).alias("rss_kb"),
+        F.lit("00:01").alias("etime"),
+        F.concat(F.lit("/home/u/proj_"), (pid % 5).cast("string")).alias("cwd"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"),
+    )
+
+
+def event_sightings(spark: SparkSession, folder: str, hours: int = 24):
+    """Users as agents seen in snapshots taken every ``hours``."""
+    e = table(spark, folder, "events")
+    number = F.floor(micros(F.col("ts")) / (hours * 3_600_000_000))
+    sightings = e.select(F.col("user_id").alias("agent_key"), number.alias("snapshot_no")).distinct()
+    bounds = e.agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
+    snapshots = bounds.select(F.explode(F.sequence("lo", "hi")).alias("snapshot_no")).select(
+        "snapshot_no", F.timestamp_seconds(F.col("snapshot_no") * (hours * 3600)).alias("taken_at")
+    )
+    return sightings, snapshots
