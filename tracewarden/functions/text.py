@@ -45,16 +45,27 @@ def content_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trigrams(word_list: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.size(word_list) - 2)
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(word_list, i, F.lit(3)), " "))
-    return F.when(F.size(word_list) >= 3, grams).otherwise(F.array().cast("array<string>"))
+    def grams(ws: Column) -> Column:
+        starts = F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0)))
+        return F.transform(starts, lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)))
+
+    return _let(word_list, grams)
 
 
 def repeated_share(items: Column) -> Column:
     """Share of array elements that repeat an earlier one."""
-    total = F.size(items)
-    return F.when(total == 0, F.lit(0.0)).otherwise((total - F.size(F.array_distinct(items))) / total)
+
+    def share(xs: Column) -> Column:
+        total = F.size(xs)
+        return F.when(total == 0, F.lit(0.0)).otherwise((total - F.size(F.array_distinct(xs))) / total)
+
+    return _let(items, share)
 
 
 def sentences(text: Column) -> Column:
