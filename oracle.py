@@ -836,5 +836,405 @@ from hr join th on th.level = case when overall_score >= 80 then 0 when overall_
 ORACLES["score_bars"] = HEALTH + """
 select session_id,
   concat(repeat('█', cast(floor(overall_score / 5) as bigint)), repeat('░', cast(20 - floor(overall_score / 5) as bigint))) as bar,
-  concat(repeat('█', cast(round_even(overall_score / 100.0::double * 10, 0) as bigint)), repeat('░', cast(10 - round_even(overall_score / 100.0::double * 10, 0) as bigint))) as mini_bar
+  concat(repeat('█', cast(half_even(overall_score / 100.0::double * 10, 0) as bigint)), repeat('░', cast(10 - half_even(overall_score / 100.0::double * 10, 0) as bigint))) as mini_bar
 from hr"""
+
+# --- rot metrics ------------------------------------------------------------------------------------------------
+
+_HEDGES = ", ".join(f"'{w}'" for w in fv.HEDGE_WORDS)
+_APOLOGIES = " + ".join("cast(contains(lo, '{}') as int)".format(p.replace("'", "''")) for p in fv.APOLOGY_PHRASES)
+
+_BEHAVIORAL = f""",
+bo as (
+  select tt.session_id, row_number() over (partition by tt.session_id order by turn_idx) - 1 as x,
+    lower(output) as lo, regexp_extract_all(lower(output), '[a-z]+') as w
+  from tt join ss using (session_id) where output <> '' and n_turns - turn_idx <= talk_window
+),
+bm as (
+  select session_id, x, len(w) as y,
+    case when len(w) = 0 then 0.0::double else len(list_filter(w, lambda v: v in ({_HEDGES}))) / len(w) end as hedge,
+    case when len(w) = 0 then 0.0::double
+      else least(({_APOLOGIES}) / greatest(len(w) / 100.0::double, 1.0::double), 1.0::double) end as apology
+  from bo
+),
+bs as (
+  select session_id, count(*) as k, sum(x)::double as sx, sum(x * x)::double as sxx, sum(y)::double as sy,
+    sum(x * y)::double as sxy, sum(hedge) / count(*) as hedge, sum(apology) / count(*) as apology
+  from bm group by session_id
+),
+bv as (
+  select session_id, apology, least(hedge / 0.05::double, 1.0::double) as hedging,
+    case when k < 2 or (k * sxy - sx * sy) <= 0 then 0.0::double
+      else least((k * sxy - sx * sy) / (k * sxx - sx * sx) / greatest(sy / k, 1.0::double), 1.0::double) end as inflation
+  from bs
+),
+beh as (
+  select session_id,
+    case when n_turns >= 2 and bv.session_id is not null
+      then half_even(least((inflation + hedging + apology) / 3.0::double, 1.0::double), 4) else 0.0::double end as value,
+    case when n_turns >= 2 and bv.session_id is not null then half_even(inflation, 4) end as length_inflation,
+    case when n_turns >= 2 and bv.session_id is not null then half_even(hedging, 4) end as hedge_density,
+    case when n_turns >= 2 and bv.session_id is not null then half_even(apology, 4) end as apology_density
+  from ss left join bv using (session_id)
+)"""
+
+_REPETITION = """,
+ro as (
+  select session_id, row_number() over (partition by session_id order by turn_idx desc) as r,
+    greatest(3, least(10, count(*) over (partition by session_id) // 5)) as k,
+    regexp_extract_all(lower(output), '[a-z]{2,}') as w,
+    list_transform(list_filter(list_transform(regexp_extract_all(output, '[^.!?\\n]+[.!?]?'),
+      lambda s: trim(s, e' \\t\\r')), lambda s: len(s) > 20), lambda s: lower(s)) as sents
+  from tt where output <> ''
+),
+rc as (
+  select *, case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) else [] end as g
+  from ro where r = 1
+),
+rp as (
+  select p.session_id,
+    sum(case when len(c.w) > 0 and len(p.w) > 0 then
+      len(list_intersect(list_distinct(c.w), list_distinct(p.w))) / len(list_distinct(list_concat(c.w, p.w))) end) as total,
+    count(*) filter (len(c.w) > 0 and len(p.w) > 0) as compared, flatten(list(p.sents)) as known
+  from ro p join rc c using (session_id) where p.r > 1 and p.r <= p.k + 1 group by p.session_id
+),
+rv as (
+  select rc.session_id,
+    case when len(g) = 0 then 0.0::double else (len(g) - len(list_distinct(g))) / len(g) end as within,
+    coalesce(total / nullif(compared, 0), 0.0::double) as overlap,
+    case when len(sents) = 0 then 0.0::double
+      else len(list_filter(sents, lambda s: coalesce(list_contains(known, s), false))) / len(sents) end as restated
+  from rc left join rp using (session_id)
+),
+rep as (
+  select ss.session_id,
+    case when within is null then 0.0::double
+      else half_even(least(0.25::double * within + 0.40::double * overlap + 0.35::double * restated, 1.0::double), 4) end as value,
+    half_even(within, 4) as ngram_self_repeat, half_even(overlap, 4) as cross_turn_overlap, half_even(restated, 4) as repeated_sentences
+  from ss left join rv using (session_id)
+)"""
+
+_THRASH = f""",
+hc as (
+  select b.session_id, count(*) as c from b join ss using (session_id) where rd <= action_window
+  group by b.session_id, tool_name, file_path, command
+),
+he as (
+  select b.session_id, count(*) as c from b join ss using (session_id) where rd <= action_window and error_message is not null
+  group by b.session_id, {_NORM_B.format('error_message')}
+),
+hv as (
+  select session_id,
+    case when n < 4 then 0.0::double else least(greatest((select max(c) from hc where hc.session_id = ss.session_id) - 3, 0) / 5.0::double, 1.0::double) end as calls,
+    least(greatest(coalesce((select max(c) from he where he.session_id = ss.session_id), 0) - 2, 0) / 4.0::double, 1.0::double) as errors,
+    case when n_turns - 1 - coalesce(productive, -1) <= 1 then 0.0::double
+      else least((n_turns - 1 - coalesce(productive, -1)) / 10.0::double, 1.0::double) end * maturity as stall
+  from ss
+),
+thr as (
+  select session_id, half_even(least(0.35::double * calls + 0.35::double * errors + 0.30::double * stall, 1.0::double), 4) as value,
+    half_even(calls, 4) as repeated_tool_calls, half_even(errors, 4) as repeated_errors, half_even(stall, 4) as turns_since_progress
+  from hv
+)"""
+
+_PROGRESS = """,
+pf as (
+  select tb.session_id, file_path, count(distinct turn_idx) as c, max(turn_idx) as latest
+  from tb join ss using (session_id) where is_edit and file_path is not null and n_turns - turn_idx <= turn_window group by all
+),
+pc as (
+  select session_id, count(*) as churning from pf join ss using (session_id) where c >= 3 and latest > coalesce(last_ok, -1) group by all
+),
+pd as (
+  select session_id, half_even(1.0::double - count(*) filter (has_edit) / least(max(n_turns), max(turn_window)), 4) as deficit
+  from tt join ss using (session_id) where n_turns - turn_idx <= turn_window group by all
+),
+pv as (
+  select session_id, deficit, half_even(least(coalesce(churning, 0) * 0.35::double, 1.0::double), 4) as churn, maturity, n_turns
+  from ss join pd using (session_id) left join pc using (session_id)
+),
+pro as (
+  select session_id,
+    case when n_turns >= 2 then half_even(least((0.55::double * deficit + 0.45::double * churn) * maturity, 1.0::double), 4) else 0.0::double end as value,
+    case when n_turns >= 2 then deficit end as turns_with_diff, case when n_turns >= 2 then churn end as file_churn
+  from pv
+)"""
+
+_MANIFESTS = ", ".join(f"'{m}'" for m in fv.DEPENDENCY_MANIFESTS)
+_RULES = f""",
+cv as (
+  select b.session_id, max(n_turns) as n_turns,
+    count(distinct file_path) filter (is_edit and string_split(file_path, '/')[-1] in ({_MANIFESTS})) as deps,
+    count(distinct file_path) filter (starts_with(file_path, '/etc/') or starts_with(file_path, '/home/')) as forb,
+    3 - cast(coalesce(bool_or(file_path = 'src/mod_1.py' or ends_with(file_path, '/src/mod_1.py')), false) as int)
+      - cast(coalesce(bool_or(file_path = 'mod_2.py' or ends_with(file_path, '/mod_2.py')), false) as int)
+      - cast(coalesce(bool_or(file_path = 'README.md' or ends_with(file_path, '/README.md')), false) as int) as missing
+  from b join ss using (session_id) group by b.session_id
+),
+cs as (
+  select session_id, half_even(least(deps * 0.5::double, 1.0::double), 4) as no_new_deps,
+    half_even(least(forb * 0.3::double, 1.0::double), 4) as forbidden_paths,
+    half_even(case when n_turns >= 6 then least(missing / 3, 1.0::double) else 0.0::double end, 4) as must_touch
+  from cv
+),
+con as (select session_id, half_even(greatest(no_new_deps, forbidden_paths, must_touch), 4) as value, no_new_deps, forbidden_paths, must_touch from cs)"""
+
+
+def _metric(name: str, cte: str, table: str, parts: list[str], prelude: str = SHAPE) -> None:
+    shown = ", ".join(f"round({p}, 6) as {p}" for p in parts)
+    ORACLES[name] = f"{prelude}{cte}\nselect session_id, round(value, 6) as value, {shown} from {table}"
+
+
+_BEH_PARTS = ["length_inflation", "hedge_density", "apology_density"]
+_REP_PARTS = ["ngram_self_repeat", "cross_turn_overlap", "repeated_sentences"]
+_metric("metric_behavioral", _BEHAVIORAL, "beh", _BEH_PARTS)
+_metric("metric_behavioral_conversations", _BEHAVIORAL, "beh", _BEH_PARTS, CONV_SHAPE)
+_metric("metric_repetition", _REPETITION, "rep", _REP_PARTS)
+_metric("metric_repetition_conversations", _REPETITION, "rep", _REP_PARTS, CONV_SHAPE)
+_metric("metric_thrash", _THRASH, "thr", ["repeated_tool_calls", "repeated_errors", "turns_since_progress"])
+_metric("metric_progress", _PROGRESS, "pro", ["turns_with_diff", "file_churn"])
+_metric("metric_constraint", _RULES, "con", ["no_new_deps", "forbidden_paths", "must_touch"])
+
+
+def _rot(constraint: bool) -> str:
+    con = "con.value" if constraint else "0.0::double"
+    return _BEHAVIORAL + _REPETITION + _THRASH + _PROGRESS + (_RULES if constraint else "") + f""",
+rot as (
+  select ss.session_id, n_turns, {con} as c, thr.value as t,
+    least(0.0::double + 0.20::double * beh.value + 0.20::double * rep.value + 0.25::double * thr.value + 0.25::double * pro.value
+      + 0.10::double * {con}, 1.0::double) as raw
+  from ss join beh using (session_id) join rep using (session_id) join thr using (session_id) join pro using (session_id)
+    {'join con using (session_id)' if constraint else ''}
+)"""
+
+
+ORACLES["rot_report"] = SHAPE + _rot(True) + """
+select session_id, n_turns, round(raw, 6) as raw_score, cast(case when c >= 0.7 and t >= 0.7 then 3 else 0 end as bigint) as state,
+  case when c >= 0.7 and t >= 0.7 then 'stuck' else 'productive' end as state_label
+from rot"""
+
+
+def _smoothed(source: str) -> str:
+    """States over ``source(session_id, tick, raw, c, t)``."""
+    return f""",
+sm as (
+  select *, list_reduce(list(raw) over (partition by session_id order by tick rows unbounded preceding),
+    lambda s, r: 0.4::double * r + 0.6::double * s) as smoothed
+  from {source}
+),
+st as (
+  select *,
+    smoothed >= 0.60 and lag(smoothed) over w >= 0.60 as l3,
+    smoothed >= 0.40 and lag(smoothed) over w >= 0.40 and lag(smoothed, 2) over w >= 0.40 as l2,
+    smoothed >= 0.20 and lag(smoothed) over w >= 0.20 as l1
+  from sm window w as (partition by session_id order by tick)
+)
+select session_id, tick as snapshot_id, round(smoothed, 6) as smoothed_score,
+  cast(case when coalesce(l3, false) or (c >= 0.7 and t >= 0.7) then 3 when coalesce(l2, false) then 2
+    when coalesce(l1, false) then 1 else 0 end as bigint) as state"""
+
+
+# The replayed buffers are the buffers of artificial sessions "<session>#<snapshot>".
+_REPLAYED = "with " + EVENTS.replace("\na as (", "\na0 as (") + """,
+sn as (select session_id as s_id, unnest(range(1, cast(max(seq) // 10 + 1 as bigint))) as snap from a0 group by session_id),
+a as (
+  select a0.* replace (concat(session_id, '#', snap) as session_id)
+  from a0 join sn on s_id = session_id and seq <= snap * 10 and seq > snap * 10 - 50
+),""" + _buffer() + TURNS[len(EV):] + _SHAPE
+ORACLES["rot_replay"] = _REPLAYED + _rot(False) + """,
+ticks as (
+  select split_part(session_id, '#', 1) as session_id, cast(split_part(session_id, '#', 2) as bigint) as tick, raw, c, t from rot
+)""" + _smoothed("ticks") + ", round(raw, 6) as raw_score from st"
+ORACLES["rot_smoothing"] = f"""with {EVENTS},
+ticks as (select session_id, seq - 1 as tick, (tokens_in % 100) / 100.0::double as raw, 0.0::double as c, 0.0::double as t from a)""" + _smoothed(
+    "ticks") + " from st"
+
+# --- efficiency --------------------------------------------------------------------------------------------------------
+
+_EFFICIENCY = """,
+es as (
+  select session_id, count(*) as actions, sum(tokens_in)::double as ti, sum(tokens_out)::double as tk,
+    sum(cache_creation_tokens)::double as cc, sum(cache_read_tokens)::double as cr,
+    (epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0::double as minutes
+  from a group by session_id
+),
+ec as (
+  select session_id, count(*) filter (outgoing_data is not null and pos > 1) + 1 as n_turns from b group by session_id
+),
+em as (
+  select *, ti + cc + cr as full_input, ti + cc + cr + tk as throughput, least((ti + cc + cr + tk) / 2000000 * 100, 100.0::double) as pct,
+    case when minutes > 0 then (ti + cc + cr + tk) / minutes else 0.0::double end as rate,
+    case when tk > 0 then (ti + cc + cr) / tk else 0.0::double end as io,
+    (ti * 3.0::double + tk * 15.0::double + cc * 3.75::double + cr * 0.30::double) / 1000000 as cost,
+    case when cc + cr > 0 then cr / (cc + cr) else 0.0::double end as hit, actions / n_turns as apt
+  from es join ec using (session_id)
+),
+ep as (
+  select *, case when minutes > 0 then cost / minutes else 0.0::double end as velocity,
+    greatest(0.0::double, least(1.0::double, pct / 100.0::double)) as p_pressure,
+    case when minutes >= 2 then greatest(0.0::double, least(1.0::double, (rate - 5000) / 25000.0::double)) else 0.0::double end as p_burn,
+    case when minutes >= 2 then greatest(0.0::double, least(1.0::double, (io - 8.0::double) / 12.0::double)) else 0.0::double end as p_io,
+    case when cc + cr > 0 then 1.0::double - hit else 0.0::double end as p_cache,
+    case when actions >= 5 then greatest(0.0::double, least(1.0::double, (1.5::double - apt) / 1.5::double)) else 0.0::double end as p_pace,
+    greatest(0.0::double, least(1.0::double, (minutes - 30.0::double) / 60.0::double)) as p_duration
+  from em
+),
+ef as (
+  select *, cast(greatest(0, least(100, trunc(100 * (1.0::double - (0.0::double + p_pressure * 0.30::double + p_burn * 0.20::double
+    + p_io * 0.10::double + p_cache * 0.15::double + p_pace * 0.10::double + p_duration * 0.15::double))))) as bigint) as score
+  from ep
+)"""
+ORACLES["efficiency"] = EV + _EFFICIENCY + """
+select session_id, score,
+  case when score >= 80 then 'productive' when score >= 60 then 'struggling' when score >= 40 then 'spinning' else 'stuck' end as status,
+  half_even(pct, 1) as context_usage_pct, half_even(rate, 1) as token_burn_rate, half_even(io, 2) as io_ratio,
+  half_even(cost, 4) as cost_total, half_even(velocity, 4) as cost_velocity,
+  half_even(greatest(0.0::double, least(1.0::double, (velocity - 0.05::double) / 0.25::double)), 4) as cost_penalty,
+  half_even(hit, 3) as cache_hit_rate, half_even(apt, 2) as actions_per_turn, half_even(minutes, 1) as duration_minutes,
+  half_even(greatest(p_pressure, p_burn, p_io), 4) as penalty_context, half_even(p_cache, 4) as penalty_cache,
+  half_even(greatest(p_duration, p_pace), 4) as penalty_pacing
+from ef"""
+ORACLES["session_health"] = f"""
+with d as ({HEALTH} select session_id, overall_score as detector_score from hr),
+f as ({EV}{_EFFICIENCY} select session_id, score as efficiency_score from ef),
+r as ({SHAPE}{_rot(False)} select session_id, raw as rot_score from rot),
+m as (
+  select *, cast(greatest(0, least(100, floor(detector_score * 0.4::double + efficiency_score * 0.3::double
+    + floor((1.0::double - rot_score) * 100) * 0.3::double))) as bigint) as overall_score
+  from d join f using (session_id) join r using (session_id)
+)
+select session_id, detector_score, efficiency_score, round(rot_score, 6) as rot_score, overall_score,
+  case when overall_score >= 80 then 'productive' when overall_score >= 60 then 'struggling' when overall_score >= 40 then 'spinning' else 'stuck' end as status
+from m"""
+
+# --- agents -------------------------------------------------------------------------------------------------------------
+
+_FOREST = """
+p as (
+  select user_id + 1 as pid, case when user_id + 1 >= 3 then (user_id + 1) // 3 end as ppid, (user_id + 1) % 4 <> 0 as agent
+  from (select distinct user_id from events)
+),
+ag as (
+  select pid, ppid, case pid % 3 when 0 then 'claude-code' when 1 then 'aider' else 'codex' end as agent_type,
+    concat('proj_', pid % 5) as project
+  from p where agent
+),
+walk as (
+  select p.pid, q.pid as parent, q.agent as found, 1 as hops from p join p q on q.pid = p.ppid where p.agent
+  union all
+  select w.pid, q.pid, q.agent, w.hops + 1 from walk w join p m on m.pid = w.parent join p q on q.pid = m.ppid
+  where not w.found and w.hops < 50
+),
+pa as (select ag.*, parent as parent_agent_pid from ag left join (select * from walk where found) w using (pid)),
+tree as (
+  select pid, 0 as depth, pid as team_id, cast(pid as varchar) as path from pa where parent_agent_pid is null
+  union all
+  select pa.pid, depth + 1, team_id, concat(path, '/', pa.pid) from tree join pa on pa.parent_agent_pid = tree.pid
+)"""
+FOREST = "with recursive " + _FOREST
+ORACLES["find_agents"] = FOREST + """
+select pid, agent_type, project, round(pid::double, 4) as memory_mb, cast(pid % 100 as double) as cpu_percent from ag"""
+ORACLES["agent_ancestors"] = FOREST + " select pid, ppid as parent_pid, parent_agent_pid from pa"
+ORACLES["agent_tree"] = FOREST + " select pid, cast(depth as bigint) as depth, team_id, path from tree"
+_TEAMS = """,
+tm as (
+  select team_id, max(concat(agent_type, ':', project)) filter (depth = 0) as team_name, count(*) as member_count,
+    count(*) filter (depth > 0) as subagent_count, cast(max(depth) as bigint) as max_depth
+  from tree join ag using (pid) group by team_id
+)"""
+ORACLES["agent_teams"] = FOREST + _TEAMS + " select team_id, team_name, member_count, subagent_count, max_depth from tm"
+ORACLES["team_health"] = FOREST + _TEAMS + f""",
+h as ({HEALTH_ALL} select session_id, overall_score from hr),
+g as (
+  select team_id, count(*) as members, count(*) filter (depth > 0) as subs,
+    coalesce(max(overall_score) filter (depth = 0), 100) as root, sum(overall_score) filter (depth > 0) as subtotal,
+    count(*) filter (depth > 0 and overall_score < 60) as struggling, count(*) filter (depth > 0 and overall_score < 40) as critical
+  from tree join h on h.session_id = concat('u', pid - 1) group by team_id
+),
+v as (
+  select *, subs >= 2 and struggling >= subs * 0.5 as cascade, root >= 80 and critical > 0 as distress,
+    case when subs > 0 then floor(root * 0.5::double + subtotal / subs * 0.5::double) else root end as base
+  from g
+),
+o as (
+  select *, cast(greatest(0, base - case when cascade then 30 else 0 end - case when distress then 15 else 0 end) as bigint) as overall_score
+  from v
+)
+select team_id, team_name, overall_score,
+  case when overall_score >= 80 then 'productive' when overall_score >= 60 then 'struggling' when overall_score >= 40 then 'spinning' else 'stuck' end as status,
+  members as member_count, subs as subagent_count,
+  concat_ws(',', case when cascade then 'team_cascade_failure' end, case when distress then 'subagent_distress' end) as signals
+from o join tm using (team_id)"""
+
+ORACLES["agent_presence"] = """
+with s as (select distinct user_id as agent_key, epoch_us(ts) // 86400000000 as snapshot_no from events),
+shots as (select unnest(range(min(snapshot_no), max(snapshot_no) + 1)) as snapshot_no from s),
+l as (
+  select *, lag(snapshot_no) over w as prev, lead(snapshot_no) over w as following
+  from s window w as (partition by agent_key order by snapshot_no)
+),
+starts as (
+  select agent_key, snapshot_no, case when prev is null then 'new' else 'returned' end as event from l
+  where prev is null or prev < snapshot_no - 1
+),
+stops as (
+  select agent_key, snapshot_no + 1 as snapshot_no, following from l
+  where (following is null or following > snapshot_no + 1) and snapshot_no + 1 <= (select max(snapshot_no) from shots)
+)
+select * from starts
+union all select agent_key, snapshot_no, 'stopped' from stops
+union all select agent_key, snapshot_no + 2, 'reaped' from stops
+where (following is null or snapshot_no + 2 < following) and snapshot_no + 2 <= (select max(snapshot_no) from shots)"""
+
+# --- log parsing ------------------------------------------------------------------------------------------------------------
+
+_TYPES = f"case tool_name when 'tool_result' then 'bash' else {tool_class('tool_name')} end as tool_type"
+ORACLES["parse_structured"] = f"""with {EVENTS},
+x as (
+  select session_id as source_file, event_id as seq, case when success then tool_name else 'tool_result' end as tool_name, success,
+    case when success then file_path end as file_path, case when success then command end as command, error_message,
+    case when success then outgoing_data end as outgoing_data, session_id,
+    cast(case when success and outgoing_data is not null then 1 else 0 end as bigint) as sub,
+    case when success then tokens_in else 0 end as tokens_in, case when success then tokens_out else 0 end as tokens_out,
+    cache_creation_tokens, cache_read_tokens, epoch_us(ts) as micros
+  from a
+)
+select *, {_TYPES} from x"""
+ORACLES["parse_role"] = f"""with {EVENTS},
+x as (
+  select session_id as source_file, event_id as seq, tool_name, error_message is null as success, file_path, command, error_message,
+    case when incoming_message is null then outgoing_data end as outgoing_data, session_id, incoming_message, network_host,
+    cast(network_port as bigint) as network_port, skill_name, coalesce(incoming_message, outgoing_data) as raw_external
+  from a
+)
+select *, {_TYPES} from x"""
+ORACLES["parse_flat"] = f"""with {EVENTS},
+x as (
+  select session_id as source_file, event_id as seq, tool_name, error_message is null as success, file_path, command, error_message,
+    cast(null as varchar) as outgoing_data, cast(null as varchar) as session_id, tokens_in, tokens_out
+  from a
+)
+select *, {_TYPES} from x"""
+ORACLES["detect_dialects"] = """
+select concat(d.p, '/u', user_id) as source_file, d.dialect, min(event_id) as locked_at
+from events, (values ('s', 'structured'), ('r', 'role'), ('f', 'unknown')) d(p, dialect) group by all"""
+
+
+def _exact_rounding(sql: str) -> str:
+    """``half_even(x, d)`` -> SQL rounding the exact binary value (by printing it)."""
+    start = sql.find("half_even(")
+    if start < 0:
+        return sql
+    depth, comma, i = 1, 0, start + len("half_even(")
+    begin = i
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[i], 0)
+        if sql[i] == "," and depth == 1:
+            comma = i
+        i += 1
+    value, digits = sql[begin:comma], sql[comma + 1 : i - 1].strip()
+    printed = f"cast(printf('%.{digits}f', cast({value} as double)) as double)"
+    return _exact_rounding(sql[:start] + printed + sql[i:])
+
+
+ORACLES = {name: _exact_rounding(sql) for name, sql in ORACLES.items()}

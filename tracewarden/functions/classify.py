@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -9,6 +10,11 @@ from pyspark.sql import Column, functions as F
 from tracewarden.functions import fixed_values as fv
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def present(value: Column) -> Column:
     """Empty text counts as absent."""
     return F.nullif(value, F.lit(""))
@@ -99,3 +105,23 @@ def flatten_nested(value: Column, depth: int) -> Column:
 
 def clamp01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
+def round_half_even(value: Column, digits: int) -> Column:
+    """Round the exact binary value of a double, ties to even, as Python's ``round`` does.
+
+    The fraction behind the last digit is computed without rounding error: both
+    halves of the split mantissa fit a double when scaled. For values whose
+    scaled size stays below 2**53.
+    """
+    scale = F.lit(float(10**digits))
+
+    def rounded(x: Column) -> Column:
+        split = x * F.lit(134217729.0)
+        high = split - (split - x)
+        whole = F.floor(x * scale)
+        rest = (high * scale - whole) + (x - high) * scale
+        up = (rest > 0.5) | ((rest == 0.5) & (whole % 2 != 0))
+        return (whole + F.when(up, 1).otherwise(0)) / scale
+
+    return let(value, rounded)

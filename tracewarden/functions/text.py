@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from tracewarden.functions import fixed_values as fv
-from tracewarden.functions.classify import strip
+from tracewarden.functions.classify import let, strip
 
 # A hedge word counts when it is a whole run of letters.
 _HEDGES = "(?<![a-z])(?:" + "|".join(fv.HEDGE_WORDS) + ")(?![a-z])"
@@ -45,17 +45,12 @@ def content_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def trigrams(word_list: Column) -> Column:
     def grams(ws: Column) -> Column:
         starts = F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0)))
         return F.transform(starts, lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)))
 
-    return _let(word_list, grams)
+    return let(word_list, grams)
 
 
 def repeated_share(items: Column) -> Column:
@@ -65,7 +60,7 @@ def repeated_share(items: Column) -> Column:
         total = F.size(xs)
         return F.when(total == 0, F.lit(0.0)).otherwise((total - F.size(F.array_distinct(xs))) / total)
 
-    return _let(items, share)
+    return let(items, share)
 
 
 def sentences(text: Column) -> Column:

@@ -37,7 +37,7 @@ class Constraints:
 
 
 def _round(value: Column) -> Column:
-    return F.bround(value, 4)
+    return c.round_half_even(value, 4)
 
 
 def _line(condition: Column, template: str, *values: Column) -> Column:
