@@ -176,7 +176,7 @@ def action_functions(spark, folder):
 @query
 def classify_tool_words(spark, folder):
     """Tool classes of every word of every conversation text."""
-    said = tables.table(spark, folder, "conversations")
+    said = tables.spread(tables.table(spark, folder, "conversations"), "conv_id")
     words = said.select(F.explode(text.words(F.col("text"))).alias("word"))
     return words.groupBy(c.classify_tool(F.col("word")).alias("tool_class")).agg(F.count("*").alias("words"))
 
@@ -201,13 +201,13 @@ def _text_measures(df: DataFrame, key: str) -> DataFrame:
 
 @query
 def conversation_text_measures(spark, folder):
-    said = tables.table(spark, folder, "conversations")
+    said = tables.spread(tables.table(spark, folder, "conversations"), "conv_id")
     return _text_measures(said.withColumn("id", F.concat_ws(":", "conv_id", "turn")), "id")
 
 
 @query
 def document_text_measures(spark, folder):
-    return _text_measures(tables.table(spark, folder, "documents"), "doc_id")
+    return _text_measures(tables.spread(tables.table(spark, folder, "documents"), "doc_id"), "doc_id")
 
 
 # --- detectors: default rules, or the given ones where defaults stay quiet on this data ------

@@ -12,13 +12,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out to all cores when the files hold fewer splits than there are cores.
+
+    Tables of many splits are left alone: at scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def event_actions(spark: SparkSession, folder: str) -> DataFrame:
     """Events as actions: one session per user, ordered by time and event id.
 
     ``seq`` is the event time itself, so no ranking (and no shuffle) is needed.
     """
     k = F.get_json_object("props", "$.k").cast("int")
-    e = table(spark, folder, "events").withColumn("k", k)
+    e = spread(table(spark, folder, "events"), "event_id").withColumn("k", k)
     kind, k = F.col("event_type"), F.col("k")
 
     def pick(column, modulus, values, default=None):
@@ -115,7 +124,7 @@ def event_actions(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_actions(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as actions: user text comes in, assistant text goes out."""
-    t = table(spark, folder, "conversations")
+    t = spread(table(spark, folder, "conversations"), "conv_id")
     role = F.col("role")
     return as_actions(
         t.select(
@@ -131,7 +140,7 @@ def conversation_actions(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_actions(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as outgoing text, one session per source."""
-    t = table(spark, folder, "documents")
+    t = spread(table(spark, folder, "documents"), "doc_id")
     return as_actions(
         t.select(
             F.col("source").cast("string").alias("session_id"),
@@ -145,7 +154,7 @@ def document_actions(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_actions(spark: SparkSession, folder: str) -> DataFrame:
     """Web pages as fetched content, one session per host."""
-    t = table(spark, folder, "pages")
+    t = spread(table(spark, folder, "pages"), "page_id")
     return as_actions(
         t.select(
             F.parse_url(F.col("url"), F.lit("HOST")).alias("session_id"),
