@@ -120,8 +120,8 @@ def round_half_even(value: Column, digits: int) -> Column:
         split = x * F.lit(134217729.0)
         high = split - (split - x)
         whole = F.floor(x * scale)
-        rest = (high * scale - whole) + (x - high) * scale
-        up = (rest > 0.5) | ((rest == 0.5) & (whole % 2 != 0))
+        over_half = ((high * scale - whole) - 0.5) + (x - high) * scale
+        up = (over_half > 0) | ((over_half == 0) & (whole % 2 != 0))
         return (whole + F.when(up, 1).otherwise(0)) / scale
 
     return let(value, rounded)

@@ -267,13 +267,15 @@ def replay_at(actions: DataFrame, snapshots: DataFrame, max_size: int = 500, hot
     The range join runs on equal keys: a snapshot's buffer spans at most two
     blocks of ``max_size`` positions, so both sides meet on (session, block).
     """
-    indexed = numbered(actions, hot_rows).withColumn("block", F.expr(f"idx div {max_size}"))
+    indexed = numbered(actions, hot_rows)
+    lengths = _lengths(indexed).select(F.col("session_id").alias("l_id"), "total")
+    # Beyond the session's end a snapshot shows its final state.
+    clamped = snapshots.join(lengths, F.col("session_id").eqNullSafe(F.col("l_id"))).withColumn(
+        "as_of_idx", F.least("as_of_idx", "total")
+    )
     here = F.expr(f"as_of_idx div {max_size}")
-    points = snapshots.select(
-        F.col("session_id").alias("s_id"),
-        "snapshot_id",
-        "as_of_idx",
-        F.explode(F.array(here, here - 1)).alias("s_block"),
+    points = clamped.select(
+        F.col("session_id").alias("s_id"), "snapshot_id", "as_of_idx", F.explode(F.array(here, here - 1)).alias("s_block")
     )
     match = (
         F.col("session_id").eqNullSafe(F.col("s_id"))
@@ -281,10 +283,8 @@ def replay_at(actions: DataFrame, snapshots: DataFrame, max_size: int = 500, hot
         & (F.col("idx") <= F.col("as_of_idx"))
         & (F.col("idx") > F.col("as_of_idx") - max_size)
     )
-    joined = indexed.join(points, match).drop("s_id", "s_block", "block")
-    lengths = _lengths(indexed).select(F.col("session_id").alias("l_id"), "total")
-    bounded = joined.join(lengths, F.col("session_id").eqNullSafe(F.col("l_id"))).drop("l_id")
-    return _as_of(bounded, F.least(F.col("as_of_idx"), F.col("total")), max_size).drop("as_of_idx", "total")
+    joined = indexed.withColumn("block", F.expr(f"idx div {max_size}")).join(points, match)
+    return _as_of(joined.drop("s_id", "s_block", "block"), F.col("as_of_idx"), max_size).drop("as_of_idx")
 
 
 def _as_of(copies: DataFrame, as_of: Column, max_size: int) -> DataFrame:

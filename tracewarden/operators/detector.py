@@ -47,14 +47,25 @@ class Detector:
 
 # --- building blocks -------------------------------------------------------------
 
-READ = c.is_file_read(F.col("tool_type"))
-EDIT = c.is_file_edit(F.col("tool_type"))
-BASH = c.is_bash(F.col("tool_type"))
-NETWORK = c.is_network(F.col("network_host"), F.col("network_port"))
-FAILED = ~F.col("success")
-FILE = F.col("file_path")
-COMMAND = F.col("command")
-ERROR = F.col("error_message")
+class _Fields:
+    """Columns and predicates of an action, built on use (a session must exist by then)."""
+
+    n = property(lambda self: F.col("n"))
+    tool = property(lambda self: F.col("tool_name"))
+    file = property(lambda self: F.col("file_path"))
+    command = property(lambda self: F.col("command"))
+    error = property(lambda self: F.col("error_message"))
+    skill = property(lambda self: F.col("skill_name"))
+    host = property(lambda self: F.nullif(F.col("network_host"), F.lit("")))
+    port = property(lambda self: F.nullif(F.col("network_port"), F.lit(0)))
+    failed = property(lambda self: ~F.col("success"))
+    read = property(lambda self: c.is_file_read(F.col("tool_type")))
+    edit = property(lambda self: c.is_file_edit(F.col("tool_type")))
+    bash = property(lambda self: c.is_bash(F.col("tool_type")))
+    network = property(lambda self: c.is_network(F.col("network_host"), F.col("network_port")))
+
+
+A = _Fields()
 
 
 def within(window: int) -> Column:

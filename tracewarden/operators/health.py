@@ -6,12 +6,8 @@ from pyspark.sql import Column, Window, functions as F
 
 from tracewarden.functions import classify as c, fixed_values as fv
 from tracewarden.operators.buffer import newest_first
-from tracewarden.operators.detector import (
-    BASH, COMMAND, EDIT, ERROR, FAILED, FILE, READ, Detector, js, last_hit, rows_in_order, top_entry, warn,
-    within,
-)
+from tracewarden.operators.detector import A, Detector, js, last_hit, rows_in_order, top_entry, warn, within
 
-N = F.col("n")
 
 
 def _text(template: str, *values: Column) -> Column:
@@ -28,7 +24,7 @@ def _cut(value: Column, size: int) -> Column:
 
 def loop(name: str = "loop", threshold: int = 4, window: int = 10) -> Detector:
     rows, top = f"{name}__rows", f"{name}__top"
-    call = F.concat(F.col("tool_name"), F.lit(":"), F.coalesce(FILE, F.lit("")))
+    call = F.concat(F.col("tool_name"), F.lit(":"), F.coalesce(A.file, F.lit("")))
     key, count = F.col(f"{top}.key"), F.col(f"{top}.count")
 
     def latest(field: str) -> Column:
@@ -43,13 +39,13 @@ def loop(name: str = "loop", threshold: int = 4, window: int = 10) -> Detector:
     ).otherwise("Consider whether a different strategy is needed.")
     return Detector(
         name, "progress", "Agent performing same action repeatedly",
-        aggs={rows: rows_in_order(within(window), call=call, command=COMMAND, error=ERROR)},
+        aggs={rows: rows_in_order(within(window), call=call, command=A.command, error=A.error)},
         derive=[
             {top: top_entry(F.transform(F.col(rows), lambda r: r["call"]))},
             {f"{name}__cmd": latest("command"), f"{name}__err": latest("error")},
         ],
         warning=F.when(
-            (N >= window) & (count >= threshold),
+            (A.n >= window) & (count >= threshold),
             warn(
                 "progress",
                 F.when(count < 6, "medium").otherwise("high"),
@@ -75,11 +71,11 @@ def reread(name: str = "reread", threshold: int = 3, window: int = 15) -> Detect
     path, count = F.col(f"{found}.file"), F.col(f"{found}.count")
     return Detector(
         name, "progress", "Agent re-reading same file multiple times",
-        aggs={rows: rows_in_order(within(window) & READ & FILE.isNotNull(), file=FILE)},
+        aggs={rows: rows_in_order(within(window) & A.read & A.file.isNotNull(), file=A.file)},
         # The first file that reaches the threshold, not the worst one.
         derive=[{found: F.get(F.filter(counted, lambda x: x["count"] >= threshold), F.lit(0))}],
         warning=F.when(
-            (N >= window) & path.isNotNull(),
+            (A.n >= window) & path.isNotNull(),
             warn(
                 "progress",
                 F.when(count < 5, "low").otherwise("medium"),
@@ -102,9 +98,9 @@ def thrash(name: str = "thrash", threshold: int = 3, window: int = 20) -> Detect
     def marks(keys: list[str]) -> dict[str, Column]:
         # Newest first: the next three actions are the three preceding rows.
         following = newest_first(keys).rowsBetween(-3, -1)
-        failing = F.max((BASH & FAILED).cast("int")).over(following)
+        failing = F.max((A.bash & A.failed).cast("int")).over(following)
         # The last two actions of the window never start a cycle.
-        return {hit: within(window) & (F.col("rd") > 2) & EDIT & FILE.isNotNull() & (failing == 1)}
+        return {hit: within(window) & (F.col("rd") > 2) & A.edit & A.file.isNotNull() & (failing == 1)}
 
     files = F.transform(F.col(rows), lambda r: r["file"])
     counted = F.transform(
@@ -116,12 +112,12 @@ def thrash(name: str = "thrash", threshold: int = 3, window: int = 20) -> Detect
         name, "progress", "Repeated edit→test→fail cycle",
         marks=[marks],
         aggs={
-            rows: rows_in_order(F.col(hit), file=FILE),
-            err: last_hit(within(window) & BASH & FAILED & ERROR.isNotNull(), _cut(ERROR, 120)),
+            rows: rows_in_order(F.col(hit), file=A.file),
+            err: last_hit(within(window) & A.bash & A.failed & A.error.isNotNull(), _cut(A.error, 120)),
         },
         derive=[{found: F.get(F.filter(counted, lambda x: x["count"] >= threshold), F.lit(0))}],
         warning=F.when(
-            (N >= window) & path.isNotNull(),
+            (A.n >= window) & path.isNotNull(),
             warn(
                 "progress", "high", "thrash",
                 _text("Edit→test→fail cycle on %s (%dx)", path, count),
@@ -142,13 +138,13 @@ def stall(name: str = "stall", window: int = 15, min_edits: int = 1, max_reads:
     return Detector(
         name, "progress", "No meaningful progress detected",
         aggs={
-            f"{name}__reads": F.count_if(within(window) & READ),
-            f"{name}__edits": F.count_if(within(window) & EDIT),
-            f"{name}__ok": F.count_if(within(window) & BASH & F.col("success")),
-            f"{name}__files": F.collect_set(F.when(within(window) & READ, FILE)),
+            f"{name}__reads": F.count_if(within(window) & A.read),
+            f"{name}__edits": F.count_if(within(window) & A.edit),
+            f"{name}__ok": F.count_if(within(window) & A.bash & F.col("success")),
+            f"{name}__files": F.collect_set(F.when(within(window) & A.read, A.file)),
         },
         warning=F.when(
-            (N >= window) & (reads > max_reads) & (edits < min_edits) & (ok < 2),
+            (A.n >= window) & (reads > max_reads) & (edits < min_edits) & (ok < 2),
             warn(
                 "progress", "medium", "stall",
                 _text("Lots of reading (%d), minimal writing (%d)", reads, edits),
@@ -167,12 +163,12 @@ def same_outcome(name: str = "same_outcome", threshold: int = 3, window: int = 2
 
     def marks(keys: list[str]) -> dict[str, Column]:
         failure = F.when(
-            BASH & FAILED & ERROR.isNotNull(),
-            F.struct(c.classify_error(ERROR).alias("kind"), ERROR.alias("message")),
+            A.bash & A.failed & A.error.isNotNull(),
+            F.struct(c.classify_error(A.error).alias("kind"), A.error.alias("message")),
         )
         # Nearest of the next four actions = last non-null of the four preceding rows.
         following = newest_first(keys).rowsBetween(-4, -1)
-        return {pair: F.when(within(window) & EDIT, F.last(failure, ignorenulls=True).over(following))}
+        return {pair: F.when(within(window) & A.edit, F.last(failure, ignorenulls=True).over(following))}
 
     key, count = F.col(f"{top}.key"), F.col(f"{top}.count")
     edits = F.col(f"{name}__edits")
@@ -184,14 +180,14 @@ def same_outcome(name: str = "same_outcome", threshold: int = 3, window: int = 2
         marks=[marks],
         aggs={
             rows: rows_in_order(found.isNotNull(), kind=found["kind"], message=found["message"]),
-            f"{name}__edits": F.count_if(within(window) & EDIT),
+            f"{name}__edits": F.count_if(within(window) & A.edit),
         },
         derive=[
             {top: top_entry(F.transform(F.col(rows), lambda r: r["kind"]))},
             {f"{name}__example": example},
         ],
         warning=F.when(
-            (N >= window) & (count >= threshold),
+            (A.n >= window) & (count >= threshold),
             warn(
                 "progress",
                 F.when(count >= 5, "high").otherwise("medium"),
@@ -226,13 +222,13 @@ def file_churn(name: str = "file_churn", threshold: int = 4, window: int = 30) -
     return Detector(
         name, "progress", "File edited repeatedly without successful test",
         aggs={
-            rows: rows_in_order(within(window) & EDIT & FILE.isNotNull(), file=FILE),
-            reset: F.max(F.when(within(window) & BASH & F.col("success"), F.col("pos"))),
-            err: last_hit(within(window) & BASH & FAILED & ERROR.isNotNull(), _cut(ERROR, 120)),
+            rows: rows_in_order(within(window) & A.edit & A.file.isNotNull(), file=A.file),
+            reset: F.max(F.when(within(window) & A.bash & F.col("success"), F.col("pos"))),
+            err: last_hit(within(window) & A.bash & A.failed & A.error.isNotNull(), _cut(A.error, 120)),
         },
         derive=[{f"{name}__files": files}, {top: top_entry(kept)}],
         warning=F.when(
-            (N >= window) & (count >= threshold),
+            (A.n >= window) & (count >= threshold),
             warn(
                 "progress",
                 F.when(count >= 6, "high").otherwise("medium"),
@@ -260,13 +256,13 @@ def exploration_stall(name: str = "exploration_stall", stale_window: int = 20, m
     return Detector(
         name, "progress", "No new files explored despite continued activity",
         aggs={
-            f"{name}__recent": F.collect_set(F.when(within(stale_window), FILE)),
-            f"{name}__earlier": F.collect_set(F.when(~within(stale_window), FILE)),
-            f"{name}__edits": F.count_if(within(stale_window) & EDIT),
-            f"{name}__errors": F.count_if(within(stale_window) & FAILED),
+            f"{name}__recent": F.collect_set(F.when(within(stale_window), A.file)),
+            f"{name}__earlier": F.collect_set(F.when(~within(stale_window), A.file)),
+            f"{name}__edits": F.count_if(within(stale_window) & A.edit),
+            f"{name}__errors": F.count_if(within(stale_window) & A.failed),
         },
         warning=F.when(
-            (N >= min_actions) & (N - stale_window >= 5) & (size >= 10)
+            (A.n >= min_actions) & (A.n - stale_window >= 5) & (size >= 10)
             & (F.size(recent) > 0) & (F.size(F.array_except(recent, earlier)) == 0),
             warn(
                 "progress",
@@ -301,13 +297,13 @@ def error_class_persistence(
         name, "errors", "Same type of error persisting despite different fixes",
         aggs={
             rows: rows_in_order(
-                within(window) & BASH & FAILED & ERROR.isNotNull(), kind=c.classify_error(ERROR), message=ERROR
+                within(window) & A.bash & A.failed & A.error.isNotNull(), kind=c.classify_error(A.error), message=A.error
             ),
-            f"{name}__edits": F.count_if(within(window) & EDIT),
+            f"{name}__edits": F.count_if(within(window) & A.edit),
         },
         derive=[{top: top_entry(kinds)}],
         warning=F.when(
-            (N >= window) & (count >= threshold) & (edits >= min_edits_between),
+            (A.n >= window) & (count >= threshold) & (edits >= min_edits_between),
             warn(
                 "errors",
                 F.when(count >= 6, "high").otherwise("medium"),
@@ -326,17 +322,17 @@ def error_class_persistence(
 
 def error_spiral(name: str = "error_spiral", threshold: int = 3) -> Detector:
     span = threshold + 2
-    since = F.coalesce(F.col(f"{name}__ok"), F.least(N, F.lit(span)) + 1)
+    since = F.coalesce(F.col(f"{name}__ok"), F.least(A.n, F.lit(span)) + 1)
     run = since - 1
     newest = F.transform(F.reverse(F.col(f"{name}__rows")), lambda r: r["message"])
     return Detector(
         name, "errors", "Multiple consecutive failures",
         aggs={
             f"{name}__ok": F.min(F.when(within(span) & F.col("success"), F.col("rd"))),
-            f"{name}__rows": rows_in_order(within(span) & FAILED & ERROR.isNotNull(), message=_cut(ERROR, 100)),
+            f"{name}__rows": rows_in_order(within(span) & A.failed & A.error.isNotNull(), message=_cut(A.error, 100)),
         },
         warning=F.when(
-            (N >= threshold) & (run >= threshold),
+            (A.n >= threshold) & (run >= threshold),
             warn(
                 "errors", "high", "error_spiral",
                 _text("Error spiral: %d consecutive failures", run),
@@ -353,10 +349,10 @@ def error_blindness(name: str = "error_blindness", threshold: int = 3, window: i
     key, count = F.col(f"{top}.key"), F.col(f"{top}.count")
     return Detector(
         name, "errors", "Same error repeated without fix",
-        aggs={rows: rows_in_order(within(window) & FAILED & ERROR.isNotNull(), message=c.normalize_error(ERROR))},
+        aggs={rows: rows_in_order(within(window) & A.failed & A.error.isNotNull(), message=c.normalize_error(A.error))},
         derive=[{top: top_entry(F.transform(F.col(rows), lambda r: r["message"]))}],
         warning=F.when(
-            (N >= window) & (count >= threshold),
+            (A.n >= window) & (count >= threshold),
             warn(
                 "errors", "high", "error_blindness",
                 _text("Same error repeated %dx without fix", count),
@@ -377,11 +373,11 @@ def syntax_loop(name: str = "syntax_loop", threshold: int = 3, window: int = 15)
         name, "errors", "Repeated syntax/import errors",
         aggs={
             f"{name}__rows": rows_in_order(
-                within(window) & ERROR.rlike(fv.any_of(fv.SYNTAX_ERRORS)), message=_cut(ERROR, 100)
+                within(window) & A.error.rlike(fv.any_of(fv.SYNTAX_ERRORS)), message=_cut(A.error, 100)
             )
         },
         warning=F.when(
-            (N >= window) & (count >= threshold),
+            (A.n >= window) & (count >= threshold),
             warn(
                 "errors", "medium", "syntax_loop",
                 _text("Repeated syntax/import errors (%dx)", count),
@@ -399,13 +395,13 @@ def high_error_rate(
     name: str = "high_error_rate", threshold: float = 0.6, window: int = 20, min_actions: int = 10
 ) -> Detector:
     failures = F.col(f"{name}__failures")
-    total = F.least(N, F.lit(window))
+    total = F.least(A.n, F.lit(window))
     rate = failures / total
     return Detector(
         name, "errors", "Unusually high failure rate",
-        aggs={f"{name}__failures": F.count_if(within(window) & FAILED)},
+        aggs={f"{name}__failures": F.count_if(within(window) & A.failed)},
         warning=F.when(
-            (N >= min_actions) & (rate >= threshold),
+            (A.n >= min_actions) & (rate >= threshold),
             warn(
                 "errors",
                 F.when(rate > 0.75, "high").otherwise("medium"),
@@ -427,7 +423,7 @@ def context_rot(
     name: str = "context_rot", early_fraction: float = 0.25, recent_window: int = 50, min_actions: int = 40
 ) -> Detector:
     rows = F.col(f"{name}__early")
-    early_rows = F.col("pos") <= F.greatest(F.lit(15), F.floor(N * early_fraction))
+    early_rows = F.col("pos") <= F.greatest(F.lit(15), F.floor(A.n * early_fraction))
     edited = F.transform(F.filter(rows, lambda r: r["edited"]), lambda r: r["file"])
     recent = F.col(f"{name}__recent")
     files = F.transform(rows, lambda r: r["file"])
@@ -437,11 +433,11 @@ def context_rot(
     return Detector(
         name, "context", "Important early files no longer being referenced",
         aggs={
-            f"{name}__early": rows_in_order(early_rows & FILE.isNotNull(), file=FILE, edited=EDIT),
-            f"{name}__recent": F.collect_set(F.when(within(recent_window), FILE)),
+            f"{name}__early": rows_in_order(early_rows & A.file.isNotNull(), file=A.file, edited=A.edit),
+            f"{name}__recent": F.collect_set(F.when(within(recent_window), A.file)),
         },
         warning=F.when(
-            (N >= min_actions) & (count >= 2),
+            (A.n >= min_actions) & (count >= 2),
             warn(
                 "context", "medium", "context_rot",
                 _text("%d early files not referenced recently", count),
@@ -475,7 +471,7 @@ def context_pressure(
         name, "context", "Context window filling up",
         aggs={f"{name}__tokens": F.sum(action_tokens())},
         warning=F.when(
-            (N >= 10) & (critical | (ratio >= warning_threshold)),
+            (A.n >= 10) & (critical | (ratio >= warning_threshold)),
             warn(
                 "context",
                 F.when(critical, "high").otherwise("medium"),
@@ -489,21 +485,21 @@ def context_pressure(
 
 def rediscovery(name: str = "rediscovery", window: int = 200, rediscovery_gap: int = 30) -> Detector:
     gap = f"{name}__gap"
-    read = within(window) & READ & FILE.isNotNull()
+    read = within(window) & A.read & A.file.isNotNull()
 
     def marks(keys: list[str]) -> dict[str, Column]:
         # Reads of one file, newest first: the following row is the read before this one.
-        same_file = Window.partitionBy(*keys, F.when(read, FILE)).orderBy(F.col("seq").desc(), F.col("sub").desc())
+        same_file = Window.partitionBy(*keys, F.when(read, A.file)).orderBy(F.col("seq").desc(), F.col("sub").desc())
         return {gap: F.when(read, F.col("pos") - F.lead("pos").over(same_file))}
 
     top = F.col(f"{name}__top")
     return Detector(
         name, "context", "Agent re-discovering previously learned information",
         marks=[marks],
-        aggs={f"{name}__rows": rows_in_order(F.col(gap) >= rediscovery_gap, file=FILE)},
+        aggs={f"{name}__rows": rows_in_order(F.col(gap) >= rediscovery_gap, file=A.file)},
         derive=[{f"{name}__top": top_entry(F.transform(F.col(f"{name}__rows"), lambda r: r["file"]))}],
         warning=F.when(
-            (N >= window) & (top["count"] >= 2),
+            (A.n >= window) & (top["count"] >= 2),
             warn(
                 "context", "low", "rediscovery",
                 _text("Re-reading %s after long gaps (%dx)", top["key"], top["count"]),

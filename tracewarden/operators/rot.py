@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewarden.functions import classify as c, fixed_values as fv, status, text
 from tracewarden.operators.buffer import SESSION
-from tracewarden.operators.detector import EDIT
+from tracewarden.operators.detector import A
 from tracewarden.operators.turns import action_window, maturity, scaled_window, turn_aggregates, turn_window, with_turns
 
 # Module weights.
@@ -92,7 +92,7 @@ def _turn_rows(buffered: DataFrame, keys: list[str], rules: Constraints) -> Data
     file = F.col("file_path")
     extra = {}
     if rules.no_new_deps:
-        extra["manifests"] = F.collect_set(F.when(EDIT & c.basename(file).isin(*rules.manifests), file))
+        extra["manifests"] = F.collect_set(F.when(A.edit & c.basename(file).isin(*rules.manifests), file))
     if rules.forbidden_prefixes:
         hit = F.lit(False)
         for prefix in rules.forbidden_prefixes:

@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tracewarden.functions import classify as c, fixed_values as fv
-from tracewarden.operators.detector import (
-    COMMAND, EDIT, FILE, NETWORK, READ, Detector, first_hit, js, rows_in_order, top_entry, warn, within,
-)
-
-N = F.col("n")
-TOOL = F.col("tool_name")
-SKILL = F.col("skill_name")
-HOST = F.nullif(F.col("network_host"), F.lit(""))
-PORT = F.nullif(F.col("network_port"), F.lit(0))
+from tracewarden.operators.detector import A, Detector, first_hit, js, rows_in_order, top_entry, warn, within
 
 
 def _cut(value: Column, size: int) -> Column:
@@ -35,7 +27,7 @@ def _command_rule(
         name, category, description,
         aggs={
             f"{name}__hit": first_hit(
-                within(window) & COMMAND.rlike(fv.any_of(patterns)), _struct(command=_cut(COMMAND, size), tool=TOOL)
+                within(window) & A.command.rlike(fv.any_of(patterns)), _struct(command=_cut(A.command, size), tool=A.tool)
             )
         },
         warning=F.when(hit.isNotNull(), warn(category, severity, signal, message, **details)),
@@ -45,7 +37,7 @@ def _command_rule(
 # --- credentials (published by name and intent only; windows and severities are own choices) ---
 
 def _credential_target() -> Column:
-    return F.when(c.is_sensitive_path(FILE), FILE).when(c.is_sensitive_path(COMMAND), COMMAND)
+    return F.when(c.is_sensitive_path(A.file), A.file).when(c.is_sensitive_path(A.command), A.command)
 
 
 def credential_access(name: str = "credential_access", window: int = 10) -> Detector:
@@ -54,7 +46,7 @@ def credential_access(name: str = "credential_access", window: int = 10) -> Dete
         name, "credential", "Access to credential files",
         aggs={
             f"{name}__hit": first_hit(
-                within(window) & _credential_target().isNotNull(), _struct(target=_credential_target(), tool=TOOL)
+                within(window) & _credential_target().isNotNull(), _struct(target=_credential_target(), tool=A.tool)
             )
         },
         warning=F.when(
@@ -75,7 +67,7 @@ def secret_in_output(name: str = "secret_in_output", window: int = 10) -> Detect
         name, "credential", "API keys or tokens in output",
         aggs={
             f"{name}__hit": first_hit(
-                within(window) & text.rlike(fv.any_of(fv.SECRETS)), _struct(tool=TOOL, size=F.length(text))
+                within(window) & text.rlike(fv.any_of(fv.SECRETS)), _struct(tool=A.tool, size=F.length(text))
             )
         },
         warning=F.when(
@@ -97,7 +89,7 @@ def credential_exfiltration(name: str = "credential_exfiltration", window: int =
                 within(window) & _credential_target().isNotNull(),
                 _struct(pos=F.col("pos"), target=_credential_target()),
             ),
-            f"{name}__sent": rows_in_order(within(window) & NETWORK, host=F.col("network_host")),
+            f"{name}__sent": rows_in_order(within(window) & A.network, host=F.col("network_host")),
         },
         warning=F.when(
             target.isNotNull(),
@@ -151,7 +143,7 @@ def hidden_instruction(
         name, "injection", "Hidden or encoded instructions detected",
         aggs={
             f"{name}__hit": first_hit(
-                within(window) & content.rlike(fv.any_of(patterns or fv.HIDDEN_CONTENT)), _struct(tool=TOOL)
+                within(window) & content.rlike(fv.any_of(patterns or fv.HIDDEN_CONTENT)), _struct(tool=A.tool)
             )
         },
         warning=F.when(
@@ -170,7 +162,7 @@ def indirect_injection(
     return Detector(
         name, "injection", "Potential injection from external content",
         aggs={
-            f"{name}__hit": first_hit(within(window) & external & found, _struct(type=F.col("tool_type"), tool=TOOL))
+            f"{name}__hit": first_hit(within(window) & external & found, _struct(type=F.col("tool_type"), tool=A.tool))
         },
         warning=F.when(
             hit.isNotNull(),
@@ -186,10 +178,10 @@ def indirect_injection(
 # --- network ----------------------------------------------------------------------------
 
 def network_anomaly(name: str = "network_anomaly", window: int = 20) -> Detector:
-    lowered = F.lower(COMMAND)
+    lowered = F.lower(A.command)
     signal = (
-        F.when(HOST.rlike(fv.any_of(fv.SUSPICIOUS_HOSTS)), "suspicious_host")
-        .when(PORT.isin(*fv.SUSPICIOUS_PORTS), "suspicious_port")
+        F.when(A.host.rlike(fv.any_of(fv.SUSPICIOUS_HOSTS)), "suspicious_host")
+        .when(A.port.isin(*fv.SUSPICIOUS_PORTS), "suspicious_port")
         .when(c.contains_any(lowered, fv.UPLOAD_TOOLS) & c.contains_any(lowered, fv.UPLOAD_FLAGS), "data_upload")
     )
     hit = F.col(f"{name}__hit")
@@ -201,7 +193,7 @@ def network_anomaly(name: str = "network_anomaly", window: int = 20) -> Detector
             f"{name}__hit": first_hit(
                 within(window) & signal.isNotNull(),
                 _struct(
-                    signal=signal, host=F.col("network_host"), port=F.col("network_port"), command=_cut(COMMAND, 80)
+                    signal=signal, host=F.col("network_host"), port=F.col("network_port"), command=_cut(A.command, 80)
                 ),
             )
         },
@@ -235,13 +227,13 @@ def data_exfiltration(
     return Detector(
         name, "exfiltration", "Potential data exfiltration detected",
         aggs={
-            f"{name}__reads": rows_in_order(within(window) & READ & FILE.isNotNull(), file=FILE),
-            f"{name}__sent": rows_in_order(within(window) & NETWORK),
+            f"{name}__reads": rows_in_order(within(window) & A.read & A.file.isNotNull(), file=A.file),
+            f"{name}__sent": rows_in_order(within(window) & A.network),
             f"{name}__size": first_hit(within(window) & (outgoing > large), outgoing),
         },
         derive=[{f"{name}__contact": contact}, {f"{name}__files": before}],
         warning=F.when(
-            (N >= 5) & (pattern | size.isNotNull()),
+            (A.n >= 5) & (pattern | size.isNotNull()),
             warn(
                 "exfiltration",
                 F.when(pattern, "high").otherwise("medium"),
@@ -266,17 +258,17 @@ def c2_communication(
         name, "network", "Potential C2 communication pattern detected",
         aggs={
             f"{name}__hit": first_hit(
-                within(window) & COMMAND.rlike(fv.any_of(fv.BEACON_COMMANDS)), _struct(command=_cut(COMMAND, 80))
+                within(window) & A.command.rlike(fv.any_of(fv.BEACON_COMMANDS)), _struct(command=_cut(A.command, 80))
             ),
-            f"{name}__rows": rows_in_order(within(window) & NETWORK, host=HOST),
+            f"{name}__rows": rows_in_order(within(window) & A.network, host=A.host),
         },
         derive=[{f"{name}__top": top_entry(hosts)}],
         warning=F.when(
-            (N >= 10) & hit.isNotNull(),
+            (A.n >= 10) & hit.isNotNull(),
             warn("network", "critical", "c2_beacon", "Command pattern consistent with C2 beacon",
                  command=hit["command"], host=F.lit(None), connection_count=F.lit(None)),
         ).when(
-            (N >= 10) & (F.size(rows) >= min_connections) & (top["count"] >= min_same_host),
+            (A.n >= 10) & (F.size(rows) >= min_connections) & (top["count"] >= min_same_host),
             warn("network", "medium", "repeated_beacon",
                  F.format_string("Repeated connections to %s (%dx)", top["key"], top["count"]),
                  command=F.lit(None), host=top["key"], connection_count=top["count"]),
@@ -313,11 +305,11 @@ def mass_file_operation(name: str = "mass_file_operation", threshold: int = 10,
     return Detector(
         name, "privilege", "Mass file operation detected",
         aggs={
-            f"{name}__deletes": F.count_if(within(window) & c.contains_any(COMMAND, ["rm ", "unlink", "shred"])),
-            f"{name}__writes": F.count_if(within(window) & EDIT),
+            f"{name}__deletes": F.count_if(within(window) & c.contains_any(A.command, ["rm ", "unlink", "shred"])),
+            f"{name}__writes": F.count_if(within(window) & A.edit),
         },
         warning=F.when(
-            (N >= window) & (mass | (writes >= threshold * 2)),
+            (A.n >= window) & (mass | (writes >= threshold * 2)),
             warn(
                 "privilege",
                 F.when(mass, "high").otherwise("medium"),
@@ -332,14 +324,14 @@ def mass_file_operation(name: str = "mass_file_operation", threshold: int = 10,
 
 
 def sensitive_directory(name: str = "sensitive_directory", window: int = 10) -> Detector:
-    path = F.coalesce(FILE, COMMAND)
+    path = F.coalesce(A.file, A.command)
     hit = F.col(f"{name}__hit")
     return Detector(
         name, "privilege", "Access to sensitive system directory",
         aggs={
             f"{name}__hit": first_hit(
                 within(window) & path.rlike(fv.any_of(fv.SENSITIVE_DIRECTORIES, ignore_case=False)),
-                _struct(path=path, edit=EDIT),
+                _struct(path=path, edit=A.edit),
             )
         },
         warning=F.when(
@@ -358,8 +350,8 @@ def sensitive_directory(name: str = "sensitive_directory", window: int = 10) ->
 # --- supply chain -----------------------------------------------------------------------------
 
 def malicious_skill(name: str = "malicious_skill", window: int = 15) -> Detector:
-    signal = F.when(COMMAND.rlike(fv.any_of(fv.SKILL_COMMANDS)), "malicious_skill").when(
-        FILE.rlike(fv.any_of(fv.SKILL_PATHS)), "skill_credential_access"
+    signal = F.when(A.command.rlike(fv.any_of(fv.SKILL_COMMANDS)), "malicious_skill").when(
+        A.file.rlike(fv.any_of(fv.SKILL_PATHS)), "skill_credential_access"
     )
     hit = F.col(f"{name}__hit")
     runs = hit["signal"] == "malicious_skill"
@@ -367,8 +359,8 @@ def malicious_skill(name: str = "malicious_skill", window: int = 15) -> Detector
         name, "supply_chain", "Skill exhibiting suspicious behavior",
         aggs={
             f"{name}__hit": first_hit(
-                within(window) & SKILL.isNotNull() & signal.isNotNull(),
-                _struct(signal=signal, skill=SKILL, command=_cut(COMMAND, 80), path=FILE),
+                within(window) & A.skill.isNotNull() & signal.isNotNull(),
+                _struct(signal=signal, skill=A.skill, command=_cut(A.command, 80), path=A.file),
             )
         },
         warning=F.when(
@@ -393,8 +385,8 @@ def skill_network(name: str = "skill_network", window: int = 20) -> Detector:
         name, "supply_chain", "Skill making network requests",
         aggs={
             f"{name}__hit": first_hit(
-                within(window) & SKILL.isNotNull() & NETWORK,
-                _struct(skill=SKILL, host=F.col("network_host"), port=F.col("network_port")),
+                within(window) & A.skill.isNotNull() & A.network,
+                _struct(skill=A.skill, host=F.col("network_host"), port=F.col("network_port")),
             )
         },
         warning=F.when(
@@ -413,7 +405,7 @@ def new_skill(name: str = "new_skill", window: int = 10) -> Detector:
     skill = F.col(f"{name}__skill")
     return Detector(
         name, "supply_chain", "New skill started executing",
-        aggs={f"{name}__skill": first_hit(within(window) & SKILL.isNotNull(), SKILL)},
+        aggs={f"{name}__skill": first_hit(within(window) & A.skill.isNotNull(), A.skill)},
         warning=F.when(
             skill.isNotNull(),
             warn("supply_chain", "low", "new_skill", F.concat(F.lit("New skill started: "), skill), skill=skill),
@@ -433,10 +425,10 @@ def skill_chain(name: str = "skill_chain", window: int = 20, min_transitions: in
     moves = F.col(f"{name}__moves")
     return Detector(
         name, "supply_chain", "Suspicious skill chaining detected",
-        aggs={f"{name}__rows": rows_in_order(within(window) & SKILL.isNotNull(), skill=SKILL)},
+        aggs={f"{name}__rows": rows_in_order(within(window) & A.skill.isNotNull(), skill=A.skill)},
         derive=[{f"{name}__skills": skills}, {f"{name}__moves": pairs}],
         warning=F.when(
-            (N >= 5) & (F.size(moves) >= min_transitions),
+            (A.n >= 5) & (F.size(moves) >= min_transitions),
             warn(
                 "supply_chain", "medium", "skill_chain",
                 F.format_string("Multiple skill transitions detected (%d)", F.size(moves)),
@@ -467,6 +459,6 @@ def all_security() -> list[Detector]:
 
 def first_seen_skills(actions):
     """Position of every skill's first use per session, over the whole history."""
-    return actions.where(c.present(SKILL).isNotNull()).groupBy("session_id", "skill_name").agg(
+    return actions.where(c.present(A.skill).isNotNull()).groupBy("session_id", "skill_name").agg(
         F.min("seq").alias("first_seq"), F.count("*").alias("uses")
     )

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewarden.functions import classify as c
 from tracewarden.operators.buffer import SESSION, newest_first
-from tracewarden.operators.detector import BASH, EDIT, FAILED
+from tracewarden.operators.detector import A
 
-_OUTPUT = c.present(F.col("outgoing_data"))
-_FILE = c.present(F.col("file_path"))
+
+def _output() -> Column:
+    return c.present(F.col("outgoing_data"))
+
+
+def _file() -> Column:
+    return c.present(F.col("file_path"))
 
 
 def _starts_turn() -> Column:
     """An action with output opens a turn, unless it is the first of the buffer."""
-    return (_OUTPUT.isNotNull() & (F.col("pos") > 1)).cast("int")
+    return (_output().isNotNull() & (F.col("pos") > 1)).cast("int")
 
 
 def with_turns(buffered: DataFrame, keys: list[str] = SESSION) -> DataFrame:
@@ -28,12 +33,12 @@ def with_turns(buffered: DataFrame, keys: list[str] = SESSION) -> DataFrame:
 def turn_aggregates() -> list[Column]:
     return [
         # Only the first action of a turn can carry its output.
-        F.min_by(_OUTPUT, "pos").alias("model_output"),
+        F.min_by(_output(), "pos").alias("model_output"),
         F.count("*").alias("action_count"),
-        F.bool_or(EDIT).alias("has_edit"),
-        F.bool_or(BASH & F.col("success")).alias("has_successful_bash"),
+        F.bool_or(A.edit).alias("has_edit"),
+        F.bool_or(A.bash & F.col("success")).alias("has_successful_bash"),
         F.bool_or(F.col("tool_type").isin("read", "search")).alias("has_code_exploration"),
-        F.collect_set(F.when(EDIT, _FILE)).alias("edited_files"),
+        F.collect_set(F.when(A.edit, _file())).alias("edited_files"),
     ]
 
 
@@ -44,8 +49,8 @@ def turns(buffered: DataFrame, keys: list[str] = SESSION) -> DataFrame:
         .groupBy(*keys, "turn_idx")
         .agg(
             *turn_aggregates(),
-            F.collect_set(_FILE).alias("touched_files"),
-            F.count_if(FAILED).alias("failed_actions"),
+            F.collect_set(_file()).alias("touched_files"),
+            F.count_if(A.failed).alias("failed_actions"),
         )
         .withColumn("model_output", F.coalesce("model_output", F.lit("")))
     )
