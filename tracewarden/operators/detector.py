@@ -74,11 +74,12 @@ def within(window: int) -> Column:
 
 def first_hit(condition: Column, value: Column) -> Column:
     """``value`` on the earliest row that fulfils ``condition``."""
-    return F.min_by(value, F.when(condition, F.col("pos")))
+    # The value too is only computed where it counts.
+    return F.min_by(F.when(condition, value), F.when(condition, F.col("pos")))
 
 
 def last_hit(condition: Column, value: Column) -> Column:
-    return F.max_by(value, F.when(condition, F.col("pos")))
+    return F.max_by(F.when(condition, value), F.when(condition, F.col("pos")))
 
 
 def rows_in_order(condition: Column, **fields: Column) -> Column:

@@ -163,7 +163,7 @@ def same_outcome(name: str = "same_outcome", threshold: int = 3, window: int = 2
 
     def marks(keys: list[str]) -> dict[str, Column]:
         failure = F.when(
-            A.bash & A.failed & A.error.isNotNull(),
+            within(window) & A.bash & A.failed & A.error.isNotNull(),
             F.struct(c.classify_error(A.error).alias("kind"), A.error.alias("message")),
         )
         # Nearest of the next four actions = last non-null of the four preceding rows.

@@ -8,6 +8,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Work per byte is high here: let small shuffles keep all cores busy.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Buffers arrive sorted by session: aggregate them as a stream instead of
     # filling a hash map of arrays that gives up after 128 sessions.
     "spark.sql.execution.replaceHashWithSortAgg": "true",
