@@ -1219,6 +1219,27 @@ ORACLES["detect_dialects"] = """
 select concat(d.p, '/u', user_id) as source_file, d.dialect, min(event_id) as locked_at
 from events, (values ('s', 'structured'), ('r', 'role'), ('f', 'unknown')) d(p, dialect) group by all"""
 
+# --- streams ---------------------------------------------------------------------------------------------------------------
+
+ORACLES["stream_new_skills"] = f"with {EVENTS} select distinct session_id, skill_name from a where skill_name is not null"
+ORACLES["stream_live_spans"] = """
+with s as (select user_id as agent_key, epoch_us(ts) as at_us from events),
+g as (
+  select *, case when at_us - lag(at_us) over w <= 86400000000 then 0 else 1 end as opens
+  from s window w as (partition by agent_key order by at_us)
+),
+i as (select *, sum(opens) over (partition by agent_key order by at_us rows unbounded preceding) as island from g)
+select agent_key, min(at_us) as seen_from, max(at_us) + 86400000000 as expired_at, count(*) as sightings
+from i group by agent_key, island
+having max(at_us) + 86400000000 <= (select max(at_us) from s) - 10000000"""
+ORACLES["stream_smoothing"] = f"""with {EVENTS},
+ticks as (select session_id, epoch_us(ts) as tick, (tokens_in % 100) / 100.0::double as raw, 0.0::double as c, 0.0::double as t from a)""" + _smoothed(
+    "ticks") + " from st"
+ORACLES["stream_reports"] = (
+    ORACLES["session_health"].replace(HEALTH, HEALTH_ALL).split("select session_id, detector_score, efficiency_score, round")[0]
+    + "select session_id, detector_score, efficiency_score, overall_score from m"
+)
+
 
 def _exact_rounding(sql: str) -> str:
     """``half_even(x, d)`` -> SQL rounding the exact binary value (by printing it)."""

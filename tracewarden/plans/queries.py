@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,8 +11,11 @@ from tracewarden.functions import classify as c, status, text
 from tracewarden.model import CATEGORIES
 from tracewarden.operators import agents as ag, buffer as b, health as h, rot, score, security as x, turns as t
 from tracewarden.operators.detector import Detector, detect
+from tracewarden.operators.lineage import shared_folder
 from tracewarden.operators.registry import create_registry
+from tracewarden.plans import reports
 from tracewarden.sources import jsonl, tables
+from tracewarden.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,9 +478,7 @@ def efficiency(spark, folder):
 @query
 def session_health(spark, folder):
     """Detectors, efficiency and rot blended into one score per session."""
-    from tracewarden.plans.reports import session_health as blended
-
-    report = blended(events(spark, folder))
+    report = reports.session_health(events(spark, folder))
     return plain(
         report.select("session_id", "detector_score", "efficiency_score", "rot_score", "overall_score", "status")
         .withColumn("rot_score", F.round("rot_score", 6))
@@ -656,3 +658,59 @@ def detect_dialects(spark, folder):
         both = found.unionByName(head)
         lines = both if lines is None else lines.unionByName(both)
     return jsonl.detect_dialect(jsonl.parse_lines(lines))
+
+
+# --- streams, run to the end of the table and read back ---------------------------------------------------
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """Everything a stream has to say about the data at hand, through a table in the shared folder."""
+    spark = stream.sparkSession
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{place}/out")
+    writer.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
+@query
+def stream_new_skills(spark, folder):
+    found = _drained(watch.new_skills(tables.event_action_stream(spark, folder)))
+    return found.select("session_id", "skill_name")
+
+
+@query
+def stream_live_spans(spark, folder):
+    """Users seen again within a day; spans still open at the end are not reported."""
+    seen = tables.event_stream(spark, folder).select(
+        F.col("user_id").alias("agent_key"), F.col("ts").cast("timestamp").alias("taken_at")
+    )
+    spans = _drained(watch.live_spans(seen, timeout="24 hours", lateness="10 seconds"))
+    return spans.select(
+        "agent_key", F.unix_micros("seen_from").alias("seen_from"), F.unix_micros("expired_at").alias("expired_at"),
+        "sightings",
+    )
+
+
+@query
+def stream_smoothing(spark, folder):
+    ticks = tables.event_action_stream(spark, folder).select(
+        "session_id", F.col("seq").alias("tick"), ((F.col("tokens_in") % 100) / 100.0).alias("raw_score"),
+        F.lit(0.0).alias("constraint"), F.lit(0.0).alias("thrash"),
+    )
+    found = _drained(watch.smooth_stream(ticks))
+    return plain(
+        found.select("session_id", F.col("tick").alias("snapshot_id"), F.round("smoothed_score", 6).alias("smoothed_score"), "state")
+    )
+
+
+@query
+def stream_reports(spark, folder):
+    """Reports of the last micro-batch of the continuous evaluation."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = watch.watch(tables.event_action_stream(spark, folder), f"{place}/reports", f"{place}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{place}/reports")
+    latest = found.groupBy("session_id").agg(
+        F.max_by(F.struct("detector_score", "efficiency_score", "overall_score"), "tick").alias("r")
+    )
+    return plain(latest.select("session_id", "r.*"))

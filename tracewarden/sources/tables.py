@@ -26,8 +26,23 @@ def event_actions(spark: SparkSession, folder: str) -> DataFrame:
 
     ``seq`` is the event time itself, so no ranking (and no shuffle) is needed.
     """
+    return _event_actions(spread(table(spark, folder, "events"), "event_id"))
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events file as a stream."""
+    schema = table(spark, folder, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+
+
+def event_action_stream(spark: SparkSession, folder: str) -> DataFrame:
+    actions = _event_actions(event_stream(spark, folder))
+    return actions.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+def _event_actions(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    e = spread(table(spark, folder, "events"), "event_id").withColumn("k", k)
+    e = events.withColumn("k", k)
     kind, k = F.col("event_type"), F.col("k")
 
     def pick(column, modulus, values, default=None):
