@@ -814,6 +814,8 @@ ORACLES["category_scores"] = HEALTH_ALL + " select session_id, " + ", ".join(
     f"score_{k}, warnings_{k}" for k in CATEGORIES
 ) + " from cs"
 ORACLES["health_report"] = HEALTH + " select session_id, action_count, overall_score, status, health_warning_count, exit_code from hr"
+ORACLES["report_json"] = HEALTH + """
+select session_id, overall_score, status, score_errors as errors_score, warnings_progress as progress_warnings, exit_code from hr"""
 ORACLES["health_report_with_security"] = HEALTH_ALL + """
 select session_id, overall_score, status, health_warning_count, security_warning_count, exit_code from hr"""
 ORACLES["security_score"] = _warnings(list(SECURITY_DETECTORS)) + """,

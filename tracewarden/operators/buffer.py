@@ -21,8 +21,9 @@ SNAPSHOT = ["session_id", "snapshot_id"]
 # so at most MAX_HOT sessions are: the bound that makes broadcasting them safe.
 HOT_ROWS = 1 << 20
 MAX_HOT = 4096
-# Histogram cells per hot session.
-CELLS = 4096
+# Hot sessions are cut into cells of seq, in proportion to their share of all
+# rows: at most CELLS + 2 * MAX_HOT cells in total, small enough to broadcast.
+CELLS = 1 << 16
 
 
 def newest_first(keys: list[str]):
@@ -109,7 +110,8 @@ def hot_sessions(actions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         actions.groupBy("session_id")
         .agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
         .where((F.col("n") > hot_rows) & (F.col("n") * MAX_HOT > total))
-        .withColumn("width", F.expr(f"(hi - lo) div {CELLS} + 1"))
+        .withColumn("cells", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(CELLS)) / total)).cast("long"))
+        .withColumn("width", F.expr("(hi - lo) div cells + 1"))
     )
 
 
@@ -130,7 +132,7 @@ def recent_bounds(actions: DataFrame, n: int, hot_rows: int = HOT_ROWS) -> DataF
         .groupBy("session_id", "lo", "width", _cell().alias("cell"))
         .agg(F.count("*").alias("rows"))
     )
-    # At most CELLS rows per session here.
+    # No more rows here than there are cells.
     from_the_end = Window.partitionBy("session_id").orderBy(F.col("cell").desc())
     return (
         cells.withColumn("held", F.sum("rows").over(from_the_end))
@@ -213,13 +215,12 @@ def numbered(actions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "cell", F.coalesce(_cell(), F.lit(0))
     ).drop("hot_id", "lo", "width")
     before = Window.partitionBy("session_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        celled.where(F.col("cell") >= 0)
-        .groupBy("session_id", "cell")
+    # Only hot sessions have cells beyond the first, and their number is bounded.
+    offsets = F.broadcast(
+        celled.groupBy("session_id", "cell")
         .agg(F.count("*").alias("rows"))
         .withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0)))
         .select(F.col("session_id").alias("o_id"), F.col("cell").alias("o_cell"), "offset")
-        # Only hot sessions have further cells: at most MAX_HOT * CELLS rows.
         .where(F.col("o_cell") > 0)
     )
     in_cell = Window.partitionBy("session_id", "cell").orderBy("seq", "sub")
@@ -241,24 +242,25 @@ def replay(actions: DataFrame, every: int, max_size: int = 500, hot_rows: int =
 
     ``snapshot_id`` k is the state after action ``k * every``. An action is in
     the buffer of at most ``max_size / every + 1`` snapshots, so it is copied
-    into just those: no join, and the work grows with the rows.
+    into just those, without a join: the work grows with the rows.
     """
     if every < 1:
         raise ValueError("every must be positive")
     indexed = numbered(actions, hot_rows)
     first_id = F.expr(f"(idx + {every} - 1) div {every}")
     last_id = F.expr(f"(idx + {max_size} - 1) div {every}")
-    lengths = _lengths(indexed).select(F.col("session_id").alias("l_id"), F.expr(f"total div {every}").alias("ticks"))
-    ids = F.sequence(F.col("first_id"), F.least(F.col("last_id"), F.col("ticks")))
     copies = (
-        indexed.join(lengths, F.col("session_id").eqNullSafe(F.col("l_id")))
-        .withColumn("first_id", first_id)
+        indexed.withColumn("first_id", first_id)
         .withColumn("last_id", last_id)
-        .where((F.col("first_id") <= F.col("last_id")) & (F.col("first_id") <= F.col("ticks")))
-        .withColumn("snapshot_id", F.explode(ids))
-        .drop("l_id", "ticks", "first_id", "last_id")
+        .where(F.col("first_id") <= F.col("last_id"))
+        .withColumn("snapshot_id", F.explode(F.sequence("first_id", "last_id")))
+        .drop("first_id", "last_id")
     )
-    return _as_of(copies, F.col("snapshot_id") * every, max_size)
+    # A snapshot beyond the session's end lacks its newest action. This window is
+    # partitioned like everything that follows, so it adds no shuffle.
+    newest_idx = F.max("idx").over(Window.partitionBy(*SNAPSHOT))
+    reached = copies.withColumn("newest", newest_idx).where(F.col("newest") == F.col("snapshot_id") * every)
+    return _as_of(reached.drop("newest"), F.col("snapshot_id") * every, max_size)
 
 
 def replay_at(actions: DataFrame, snapshots: DataFrame, max_size: int = 500, hot_rows: int = HOT_ROWS) -> DataFrame:

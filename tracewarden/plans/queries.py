@@ -485,6 +485,24 @@ def session_health(spark, folder):
     )
 
 
+@query
+def report_json(spark, folder):
+    """Fields read back from the JSON form of the health report."""
+    report = reports.report_json(_health(spark, folder, "health"))
+
+    def field(path: str) -> Column:
+        return F.get_json_object("report", path)
+
+    return report.select(
+        "session_id",
+        field("$.overall_score").cast("bigint").alias("overall_score"),
+        field("$.status").alias("status"),
+        field("$.categories.errors.score").cast("bigint").alias("errors_score"),
+        field("$.categories.progress.warning_count").cast("bigint").alias("progress_warnings"),
+        field("$.exit_code").cast("bigint").alias("exit_code"),
+    )
+
+
 @query
 def status_themes(spark, folder):
     """Detector score of every session, worded in every theme."""
