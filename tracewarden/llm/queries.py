@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import simhash
+from tracewarden.llm import decontaminate, mixing, simhash, tokens, toxicity
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -17,9 +17,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.read(tokens.write(table(spark, folder, "documents")))
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken(table(spark, folder, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", "start", "end")
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {
+    "op1_tokens": op1_tokens,
+    "op3_mixing": op3_mixing,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_simhash": op7_simhash,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLES: dict[str, str] = {}
