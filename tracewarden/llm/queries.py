@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontaminate, mixing, simhash, tokens, toxicity
+from tracewarden.llm import decontaminate, licenses, mixing, simhash, spotsigs, tokens, toxicity
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -21,6 +21,10 @@ def op1_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.read(tokens.write(table(spark, folder, "documents")))
 
 
+def op2_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.compared(table(spark, folder, "documents"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
@@ -30,6 +34,10 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "distance", "start", "end")
 
 
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned_licenses(table(spark, folder, "documents"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -40,8 +48,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_tokens": op1_tokens,
+    "op2_spotsigs": op2_spotsigs,
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_licenses": op5_licenses,
     "op7_simhash": op7_simhash,
     "op10_toxicity": op10_toxicity,
 }
