@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import decontaminate, licenses, mixing, simhash, spotsigs, tokens, toxicity
+from tracewarden.llm import boilerplate, decontaminate, licenses, mixing, secrets, simhash, spotsigs, suffixes, tokens, toxicity
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -38,10 +38,22 @@ def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scanned_licenses(table(spark, folder, "documents"))
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scanned(table(spark, folder, "documents"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.report(table(spark, folder, "pages"))
+
+
+def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, folder, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -52,7 +64,10 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_decontaminate": op4_decontaminate,
     "op5_licenses": op5_licenses,
+    "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_lines": op8_lines,
+    "op9_suffixes": op9_suffixes,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_lines": boilerplate.ORACLE}
