@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewarden.llm.shared import saved
 
 #: Share of a host's pages above which a line is boilerplate, and pages that must contain it at least.
-RATIO, PAGES = 0.5, 3
+RATIO, PAGES = 0.1, 3
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|nav|article|header|footer|title|section|aside|body|head|html)(?:[\s/][^>]*)?>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.shared import NO_ID, documents, saved
+from tracewarden.llm.shared import NO_ID, documents, keyed, saved, unkeyed
 
 RATE = 0.06
 #: Characters of items that are searched in one pass over the documents; more items take more passes.
@@ -138,7 +138,5 @@ def matches(df: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
 def clean(df: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``df`` that hold no item, with all columns."""
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    found = saved(matches(df, benchmark, rate).select(id_.alias("_id"), F.col("row").alias("_row")).distinct(), "matches")
-    keyed = df.withColumns({"_id": id_, "_row": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(found, ["_id", "_row"], "left_anti").select(*df.columns)
+    found = matches(df, benchmark, rate).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row").distinct()
+    return unkeyed(keyed(df).join(saved(found, "matches"), ["id", "row"], "left_anti"), df.columns)

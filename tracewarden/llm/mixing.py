@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.shared import NO_ID, saved
+from tracewarden.llm.shared import NO_ID, keyed, saved, unkeyed
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -138,21 +138,19 @@ def mixed(df: DataFrame, block: int = BLOCK) -> DataFrame:
     docs = placed(rows, table)
     counts = slots(table).groupBy("no", "block").agg(F.count("*").alias("times"))
     met = pieces(docs, block).join(counts, ["no", "block"])
-    key = [F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("row").alias("_row")]
     # A document's parts are bounded by its text; equal rows have their starts apart.
-    each = met.groupBy(*key, "no", "start").agg(F.sort_array(F.collect_list(F.struct("from", "words", "times"))).alias("parts"))
-    plans = saved(each.groupBy("_id", "_row", "no").agg(F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("_plans")).drop("no"), "plans")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_row": F.xxhash64(text)})
-    nth = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_id"))
-    joined = keyed.join(plans, ["_id", "_row"]).withColumn("_nth", nth)
+    each = met.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row", "start").agg(F.sort_array(F.collect_list(F.struct("from", "words", "times"))).alias("parts"))
+    plans = saved(each.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("plans")), "plans")
+    nth = F.row_number().over(Window.partitionBy("id", "row").orderBy("id"))
+    joined = keyed(df).join(plans, ["id", "row"]).withColumn("plan", F.get(F.col("plans")["parts"], nth - 1))
     # Words with the white space after them; a leading run of it goes.
     white = r"\x20\x09-\x0D"
-    words = F.split(F.regexp_replace(text, f"^[{white}]+", ""), f"(?<=[{white}])(?=[^{white}])")
-    passes = joined.withColumn("_words", words).withColumn("_parts", F.get(F.col("_plans")["parts"], F.col("_nth") - 1)).withColumn("_pass", F.explode(F.array(*(F.lit(k) for k in range(MOST)))))
-    parts = F.filter("_parts", lambda p: p["times"] > F.col("_pass"))
-    chosen = F.array_join(F.flatten(F.transform(parts, lambda p: F.slice("_words", (p["from"] + 1).cast("int"), p["words"].cast("int")))), "")
-    out = passes.withColumn("text", chosen).where("text != ''")
+    text = F.regexp_replace(F.col("doc.text").cast("string"), f"^[{white}]+", "")
+    split = joined.select("doc", F.split(text, f"(?<=[{white}])(?=[^{white}])").alias("all"), "plan", F.explode(F.array(*map(F.lit, range(MOST)))).alias("pass"))
+    parts = F.filter("plan", lambda p: p["times"] > F.col("pass"))
+    chosen = F.flatten(F.transform(parts, lambda p: F.slice("all", (p["from"] + 1).cast("int"), p["words"].cast("int"))))
+    out = split.select("doc", F.array_join(chosen, "").alias("mixed")).where("mixed != ''")
+    changed = {"text": F.col("mixed")}
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+        changed["n_chars"] = F.length("mixed").cast(df.schema["n_chars"].dataType)
+    return unkeyed(out, df.columns, **changed)

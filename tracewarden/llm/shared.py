@@ -46,6 +46,20 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """The whole row as the struct ``doc``, beside its key: ``id`` (NO_ID where missing) and ``row`` (hash of the text).
+
+    Columns of ``df`` keep their names inside the struct, whatever the names are; unkeyed() brings them back.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return df.select(F.struct(*df.columns).alias("doc"), id_.alias("id"), F.xxhash64(text).alias("row"))
+
+
+def unkeyed(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    return df.select(*(changed.get(c, F.col("doc").getField(c)).alias(c) for c in columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only: other letters stay as they are in every locale."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.shared import NO_ID, components, documents, partitions, saved
+from tracewarden.llm.shared import NO_ID, components, documents, keyed, partitions, saved, unkeyed
 
 BITS = 64
 WORDS = 4
@@ -177,9 +177,8 @@ def deduplicated(df: DataFrame, distance: int = DISTANCE, words: int = WORDS) ->
     prints, classes = _classes(df, distance, words)
     id_ = F.coalesce("doc_id", F.lit(NO_ID))
     # Partial: a row for each fingerprint before the classes meet.
-    least = prints.groupBy("fingerprint").agg(F.min(F.struct(id_.alias("_id"), F.col("row").alias("_row"))).alias("least"))
-    stay = classes.join(least, "fingerprint").groupBy("class").agg(F.min("least").alias("least")).select("least._id", "least._row")
-    keyed = df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_row": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = keyed.join(saved(stay, "stay"), ["_id", "_row"], "left_semi")
-    first = Window.partitionBy("_id", "_row").orderBy("_id")
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*df.columns)
+    least = prints.groupBy("fingerprint").agg(F.min(F.struct(id_.alias("id"), "row")).alias("least"))
+    stay = classes.join(least, "fingerprint").groupBy("class").agg(F.min("least").alias("least")).select("least.id", "least.row")
+    kept = keyed(df).join(saved(stay, "stay"), ["id", "row"], "left_semi")
+    first = Window.partitionBy("id", "row").orderBy("id")
+    return unkeyed(kept.withColumn("nth", F.row_number().over(first)).where("nth = 1"), df.columns)

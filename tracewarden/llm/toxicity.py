@@ -39,7 +39,7 @@ PRIOR = [-3.0, 1.0, 4.5, 4.5, 0.0, 0.0, 0.0, 0.0]
 
 def edits(term: str) -> int:
     """Edits a term of this length may have."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
 
 class Automaton:
