@@ -8,12 +8,15 @@ sequence, or any document through the index, without a copy.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,11 +24,11 @@ from pyspark.sql import functions as F
 from tracewarden.llm.shared import NO_ID, documents, partitions, saved, shared_folder
 
 LENGTH = 1024
-#: Sequences in a record batch; words whose ids a worker remembers.
-SEQUENCES, REMEMBERED = 64, 200_000
+#: Sequences in a record batch; words and pieces whose ids a worker remembers.
+SEQUENCES, REMEMBERED = 64, 500_000
 END = 0
-#: White space beside white space, where cutting at single spaces would not be exact.
-DOUBLED = re.compile(r"\s\s")
+#: How byte-level tokenizers cut texts.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_file() -> str:
@@ -38,39 +41,66 @@ class Encoder:
     """Whole-text encoding through the tokenizers library, remembering words.
 
     A byte-level tokenizer attaches a lone space to what follows it and lets no piece reach over it; texts are cut
-    there, each different word is encoded once with its space, and the ids are strung together. Texts with doubled
-    white space go to the library whole.
+    there, the pieces of each different word go through the library's model once, and the ids are strung together.
+    Texts in which a space stands beside white space are cut into pieces as a whole. Texts that hold an added token,
+    and all texts of tokenizers of another kind, go to the library as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        pre = self.tokenizer.pre_tokenizer
+        self.by_word = self.tokenizer.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space
+        # The letter that stands for each byte in the vocabulary.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+        self.cut = regex.compile(PIECES).findall
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+            found = self.pieces[piece] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return found
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join([self._piece(p) for p in self.cut(text)])
+
+    def _word(self, word: str) -> bytes:
+        body = word[1:] if word[:1] == " " else word
+        if body.isalpha():
+            return self._piece(word)
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return self._piece(word[:-1]) + self._piece(word[-1])
+        return self._cut(word)
+
+    def _encoded(self, text: str) -> bytes:
+        if not self.by_word or any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        first, *words = text.split(" ")
+        last = words.pop() if words else "."
+        known = self.words
+        new = set(words).difference(known)
+        if any(not w or w[0].isspace() or w[-1].isspace() for w in new) or not first or first[-1].isspace() or not last or last[0].isspace():
+            return self._cut(text)
+        for word in new:
+            known[word] = self._word(" " + word)
+        parts = [known[w] for w in words]
+        return self._word(first) + b"".join(parts) + (self._word(" " + last) if " " in text else b"")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split, new, whole = [], {}, []
-        for n, text in enumerate(texts):
-            if DOUBLED.search(text) or text[:1].isspace() or text[-1:].isspace():
-                whole.append(n)
-                split.append(None)
-                continue
-            words = text.split(" ")
-            words[0] = "\0" + words[0]  # the first word has no space
-            split.append(words)
-            new.update(dict.fromkeys(words))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in new if w not in self.known]
-        self.known.update(zip(new, self._encode([w[1:] if w[:1] == "\0" else " " + w for w in new])))
-        out = [b"" if words is None else b"".join([self.known[w] for w in words]) for words in split]
-        for n, ids in zip(whole, self._encode([texts[n] for n in whole])):
-            out[n] = ids
-        return [np.frombuffer(x, self.kind) for x in out]
+        for memory in (self.words, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        return [np.frombuffer(self._encoded(text), self.kind) for text in texts]
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
