@@ -165,11 +165,12 @@ ORACLES["actions_by_file"] = EV + " select session_id, pos, tool_name from b whe
 
 ORACLES["replay_buffer"] = f"""
 with {EVENTS},
-s as (select session_id, unnest(range(1, cast(max(seq) // 10 + 1 as bigint))) as snapshot_id from a group by session_id)
-select s.session_id, s.snapshot_id, count(*) as actions, max(s.snapshot_id * 10 - a.seq + 1) as max_rd,
-  min(least(s.snapshot_id * 10, 30) - (s.snapshot_id * 10 - a.seq + 1) + 1) as min_pos,
+k as (select session_id, max(seq) as total, unnest(range(1, cast((max(seq) + 9) // 10 + 1 as bigint))) as snapshot_id from a group by session_id),
+s as (select *, least(snapshot_id * 10, total) as as_of from k)
+select s.session_id, s.snapshot_id, count(*) as actions, max(s.as_of - a.seq + 1) as max_rd,
+  min(least(s.as_of, 30) - (s.as_of - a.seq + 1) + 1) as min_pos,
   cast(sum(a.event_id) as bigint) as event_ids
-from s join a on a.session_id = s.session_id and a.seq <= s.snapshot_id * 10 and a.seq > s.snapshot_id * 10 - 30
+from s join a on a.session_id = s.session_id and a.seq <= s.as_of and a.seq > s.as_of - 30
 group by all"""
 
 ORACLES["replay_at_points"] = f"""
@@ -706,30 +707,13 @@ _warn(
     {"count": "c"}, "t", "c >= 3",
 )
 
-_DOCS = """with a as (
-  select source as session_id, doc_id as seq, 'text_output' as tool_name, 'unknown' as tool_type, true as success,
-    nullif(text, '') as outgoing_data, cast(null as varchar) as network_host, cast(null as int) as network_port,
-    cast(null as varchar) as file_path
-  from documents
-),""" + _buffer()
-_warn(
-    "docs_secret_scan", _first(500, _like("outgoing_data", fv.SECRETS)), "credential", _q("secret_in_output"),
-    _q("critical"), _q("Secret found in output"), {"size": "length(outgoing_data)"}, "t", "r = 1", prelude=_DOCS,
-)
-_warn(
-    "docs_large_outgoing", _EXFIL, "exfiltration", _q("large_outgoing"), _q("medium"), _EXFIL_MESSAGE,
-    {"size_bytes": "size"}, "t", "size is not null", prelude=_DOCS,
-)
-_PAGES = """with a as (
-  select regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as session_id, page_id as seq, 'WebFetch' as tool_name,
-    'browser' as tool_type, true as success, html as raw_content,
-    regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as network_host, cast(null as int) as network_port
-  from pages
-),""" + _buffer()
-_warn(
-    "pages_hidden_content", _first(10, "contains(raw_content, '<!--')"), "injection", _q("hidden_instruction"), _q("high"),
-    _q("Hidden or encoded content detected"), {"source": "tool_name"}, "t", "r = 1", prelude=_PAGES,
+ORACLES["docs_secret_scan"] = " union all ".join(
+    f"select doc_id, source, cast({n} as bigint) as rule, length(text) as size from documents where {_like('text', [pattern])}"
+    for n, pattern in enumerate(fv.SECRETS)
 )
+ORACLES["docs_large_outgoing"] = "select doc_id, source, length(text) as size_bytes from documents where length(text) > 10000"
+ORACLES["pages_hidden_content"] = """
+select page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as host from pages where contains(html, '<!--')"""
 ORACLES["first_seen_skills"] = f"""
 with {EVENTS}
 select session_id, skill_name, min(epoch_us(ts)) as first_seq, count(*) as uses from a where skill_name is not null group by all"""
@@ -1011,12 +995,12 @@ rot as (
 
 
 ORACLES["rot_report"] = SHAPE + _rot(True) + """
-select session_id, n_turns, round(raw, 6) as raw_score, cast(case when c >= 0.7 and t >= 0.7 then 3 else 0 end as bigint) as state,
+select session_id, n_turns, half_even(raw, 4) as raw_score, cast(case when c >= 0.7 and t >= 0.7 then 3 else 0 end as bigint) as state,
   case when c >= 0.7 and t >= 0.7 then 'stuck' else 'productive' end as state_label
 from rot"""
 
 
-def _smoothed(source: str) -> str:
+def _smoothed(source: str, shown: str = "round(smoothed, 6)") -> str:
     """States over ``source(session_id, tick, raw, c, t)``."""
     return f""",
 sm as (
@@ -1031,22 +1015,22 @@ st as (
     smoothed >= 0.20 and lag(smoothed) over w >= 0.20 as l1
   from sm window w as (partition by session_id order by tick)
 )
-select session_id, tick as snapshot_id, round(smoothed, 6) as smoothed_score,
+select session_id, tick as snapshot_id, {shown} as smoothed_score,
   cast(case when coalesce(l3, false) or (c >= 0.7 and t >= 0.7) then 3 when coalesce(l2, false) then 2
     when coalesce(l1, false) then 1 else 0 end as bigint) as state"""
 
 
 # The replayed buffers are the buffers of artificial sessions "<session>#<snapshot>".
 _REPLAYED = "with " + EVENTS.replace("\na as (", "\na0 as (") + """,
-sn as (select session_id as s_id, unnest(range(1, cast(max(seq) // 10 + 1 as bigint))) as snap from a0 group by session_id),
+sn as (select session_id as s_id, max(seq) as total, unnest(range(1, cast((max(seq) + 9) // 10 + 1 as bigint))) as snap from a0 group by session_id),
 a as (
   select a0.* replace (concat(session_id, '#', snap) as session_id)
-  from a0 join sn on s_id = session_id and seq <= snap * 10 and seq > snap * 10 - 50
+  from a0 join sn on s_id = session_id and seq <= least(snap * 10, total) and seq > least(snap * 10, total) - 50
 ),""" + _buffer() + TURNS[len(EV):] + _SHAPE
 ORACLES["rot_replay"] = _REPLAYED + _rot(False) + """,
 ticks as (
   select split_part(session_id, '#', 1) as session_id, cast(split_part(session_id, '#', 2) as bigint) as tick, raw, c, t from rot
-)""" + _smoothed("ticks") + ", round(raw, 6) as raw_score from st"
+)""" + _smoothed("ticks", "half_even(smoothed, 4)") + ", half_even(raw, 4) as raw_score from st"
 ORACLES["rot_smoothing"] = f"""with {EVENTS},
 ticks as (select session_id, seq - 1 as tick, (tokens_in % 100) / 100.0::double as raw, 0.0::double as c, 0.0::double as t from a)""" + _smoothed(
     "ticks") + " from st"
@@ -1099,7 +1083,7 @@ from ef"""
 ORACLES["session_health"] = f"""
 with d as ({HEALTH} select session_id, overall_score as detector_score from hr),
 f as ({EV}{_EFFICIENCY} select session_id, score as efficiency_score from ef),
-r as ({SHAPE}{_rot(False)} select session_id, raw as rot_score from rot),
+r as ({SHAPE}{_rot(False)} select session_id, half_even(raw, 4) as rot_score from rot),
 m as (
   select *, cast(greatest(0, least(100, floor(detector_score * 0.4::double + efficiency_score * 0.3::double
     + floor((1.0::double - rot_score) * 100) * 0.3::double))) as bigint) as overall_score
@@ -1231,9 +1215,9 @@ g as (
   from s window w as (partition by agent_key order by at_us)
 ),
 i as (select *, sum(opens) over (partition by agent_key order by at_us rows unbounded preceding) as island from g)
-select agent_key, min(at_us) as seen_from, max(at_us) + 86400000000 as expired_at, count(*) as sightings
-from i group by agent_key, island
-having max(at_us) + 86400000000 <= (select max(at_us) from s) - 10000000"""
+select agent_key, min(at_us) as seen_from, max(at_us) + 86400000000 as expired_at, count(*) as sightings,
+  max(at_us) + 86400000000 > (select max(at_us) from s) - 10000000 as open
+from i group by agent_key, island"""
 ORACLES["stream_smoothing"] = f"""with {EVENTS},
 ticks as (select session_id, epoch_us(ts) as tick, (tokens_in % 100) / 100.0::double as raw, 0.0::double as c, 0.0::double as t from a)""" + _smoothed(
     "ticks") + " from st"

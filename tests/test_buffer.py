@@ -71,7 +71,7 @@ def test_replay_matches_prefixes(uneven, hot_rows):
     for session, seqs in ordered(rows).items():
         if session in (None, "hot"):
             continue
-        for k in range(1, len(seqs) // 7 + 1):
+        for k in range(1, -(-len(seqs) // 7) + 1):
             kept = seqs[: k * 7][-50:]
             expected[session, k] = [(i + 1, len(kept) - i, len(kept), *x) for i, x in enumerate(kept)]
     assert {k: sorted(v) for k, v in got.items()} == expected

@@ -123,15 +123,42 @@ def test_alarm_goes_straight_to_the_worst_state(spark):
     assert [r.state for r in rot.smooth(ticks).orderBy("snapshot_id").collect()] == [3, 0]
 
 
-def test_last_snapshot_equals_the_final_state(spark):
+@pytest.mark.parametrize("every", [1, 7, 8, 100])
+def test_last_snapshot_equals_the_final_state(spark, every):
     case = {"s": CASES["churn"]}
     actions = sessions(spark, case)
-    final = rot.rot_modules(b.buffer(actions)).first()
-    replayed = rot.rot_modules(b.replay(actions, every=8), ["session_id", "snapshot_id"])
-    last = replayed.where("snapshot_id = 3").first()
+    final = rot.rot_modules(b.buffer(actions, 20)).first()
+    replayed = rot.rot_modules(b.replay(actions, every=every, max_size=20), ["session_id", "snapshot_id"])
+    last = replayed.orderBy(F.desc("snapshot_id")).first()
+    assert last.snapshot_id == -(-len(CASES["churn"]) // every)
     assert last.raw_score == final.raw_score and last.thrash == final.thrash and last.progress == final.progress
 
 
+@pytest.mark.parametrize("alpha", [0.02, 0.4, 0.97, 1.0])
+def test_smoothing_forgets_nothing(spark, alpha):
+    random.seed(4)
+    scores = {"a": [random.random() for _ in range(3000)], "b": [1.0] + [0.0] * 900, None: [0.5, 0.9]}
+    ticks = spark.createDataFrame(
+        [(k, i + 5, float(r), 0.0, 0.0) for k, values in scores.items() for i, r in enumerate(values)],
+        "session_id string, snapshot_id bigint, raw_score double, constraint double, thrash double",
+    )
+    got = {(r.session_id, r.snapshot_id): r.smoothed_score for r in rot.smooth(ticks, alpha).collect()}
+    assert len(got) == sum(map(len, scores.values()))
+    for k, values in scores.items():
+        s = None
+        for i, r in enumerate(values):
+            s = r if s is None else alpha * r + (1 - alpha) * s
+            assert abs(got[k, i + 5] - s) <= 1e-12 * max(s, 1e-200) + 1e-300
+
+
+def test_scores_are_blended_with_four_digits(spark):
+    df = spark.createDataFrame([(0.29001,)], "raw_score double").select(rot.shown("raw_score"))
+    from tracewarden.operators import score
+
+    mixed = df.select(score.blend(F.lit(0), None, F.col("raw_score"), score.BlendWeights(0.0, 0.0, 1.0)).alias("v")).first().v
+    assert df.first().raw_score == 0.29 and mixed == int((1 - 0.29) * 100)
+
+
 def test_rounding_is_that_of_python(spark):
     random.seed(1)
     values = [random.randrange(0, 200001) / 100000 * random.choice([1, 0.35, 0.55, 0.45]) for _ in range(3000)]

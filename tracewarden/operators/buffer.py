@@ -238,29 +238,30 @@ def _lengths(indexed: DataFrame) -> DataFrame:
 
 
 def replay(actions: DataFrame, every: int, max_size: int = 500, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The buffer as it was after every ``every``-th action.
+    """The buffer as it was after every ``every``-th action, and at the session's end.
 
-    ``snapshot_id`` k is the state after action ``k * every``. An action is in
-    the buffer of at most ``max_size / every + 1`` snapshots, so it is copied
-    into just those, without a join: the work grows with the rows.
+    ``snapshot_id`` k is the state after action ``k * every``; the last one of a
+    session shows its final state. An action is in the buffer of at most
+    ``max_size / every + 2`` snapshots, so it is copied into just those, without
+    a join: the work grows with the rows.
     """
     if every < 1:
         raise ValueError("every must be positive")
     indexed = numbered(actions, hot_rows)
     first_id = F.expr(f"(idx + {every} - 1) div {every}")
-    last_id = F.expr(f"(idx + {max_size} - 1) div {every}")
-    copies = (
-        indexed.withColumn("first_id", first_id)
-        .withColumn("last_id", last_id)
-        .where(F.col("first_id") <= F.col("last_id"))
-        .withColumn("snapshot_id", F.explode(F.sequence("first_id", "last_id")))
-        .drop("first_id", "last_id")
-    )
-    # A snapshot beyond the session's end lacks its newest action. This window is
-    # partitioned like everything that follows, so it adds no shuffle.
+    # One further than a full snapshot would reach: the last one may end early.
+    last_id = F.expr(f"(idx + {max_size} + {every} - 2) div {every}")
+    copies = indexed.withColumn("snapshot_id", F.explode(F.sequence(first_id, last_id)))
+    # The newest action a snapshot holds is the one it was taken after; beyond the
+    # session's end it belongs to an earlier snapshot. This window is partitioned
+    # like everything that follows, so it adds no shuffle.
     newest_idx = F.max("idx").over(Window.partitionBy(*SNAPSHOT))
-    reached = copies.withColumn("newest", newest_idx).where(F.col("newest") == F.col("snapshot_id") * every)
-    return _as_of(reached.drop("newest"), F.col("snapshot_id") * every, max_size)
+    held = (
+        copies.withColumn("newest", newest_idx)
+        .where(F.col("newest") > (F.col("snapshot_id") - 1) * every)
+        .where(F.col("idx") > F.col("newest") - max_size)
+    )
+    return _as_of(held, F.col("newest"), max_size).drop("newest")
 
 
 def replay_at(actions: DataFrame, snapshots: DataFrame, max_size: int = 500, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -435,6 +435,11 @@ def state_of(above: dict[int, Column], constraint: Column, thrash: Column) -> Co
     return expr.otherwise(0)
 
 
+def shown(name: str, alias: str | None = None) -> Column:
+    """Scores are reported, and blended, with four digits."""
+    return c.round_half_even(F.col(name), 4).alias(alias or name)
+
+
 def rot_report(
     buffered: DataFrame, keys: list[str] = SESSION, rules: Constraints = Constraints(),
     theme: str = fv.DEFAULT_THEME,
@@ -444,7 +449,7 @@ def rot_report(
     never = {3: F.lit(False), 2: F.lit(False), 1: F.lit(False)}
     state = state_of(never, F.col("constraint")["value"], F.col("thrash")["value"])
     return modules.select(
-        *keys, "n_turns", "raw_score", F.col("raw_score").alias("smoothed_score"), state.alias("state"),
+        *keys, "n_turns", shown("raw_score"), shown("raw_score", "smoothed_score"), state.alias("state"),
         status.level_label(state, theme).alias("state_label"), "top_reasons", *MODULES,
     )
 
@@ -452,37 +457,58 @@ def rot_report(
 def smooth(ticks: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Exponential smoothing and states over ``ticks(session_id, snapshot_id, raw_score, constraint, thrash)``.
 
-    Snapshot ids are consecutive. A score older than ``reach`` ticks weighs less
-    than a double can hold, so a session is smoothed in stretches that start
-    ``reach`` ticks early: no task ever needs a whole session.
+    Snapshot ids are consecutive. A session is smoothed in stretches, so no task
+    needs all of it. Inside a stretch the recursion is a running sum of scores
+    weighted by powers of ``1 / (1 - alpha)``, as many as a double holds; what a
+    stretch takes over from earlier ones follows from their sums. Nothing is cut:
+    weights older than two stretches are below the smallest double.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
-    reach = 3 if alpha == 1 else max(3, math.ceil(45 / -math.log1p(-alpha)))
-    stretch = max(1024, 8 * reach)
-    home = F.expr(f"snapshot_id div {stretch}")
-    lead_in = F.col("snapshot_id") % stretch >= stretch - reach - 2
-    copies = ticks.withColumn("home", home).withColumn(
-        "stretch", F.explode(F.when(lead_in, F.array(F.col("home"), F.col("home") + 1)).otherwise(F.array("home")))
-    )
+    keep = 1.0 - alpha
+    stretch = 1024 if keep == 0 else max(8, math.ceil(355 / -math.log(keep)))
+    placed = ticks.withColumn("stretch", F.expr(f"snapshot_id div {stretch}")).withColumn("off", F.col("snapshot_id") % stretch)
     order = Window.partitionBy("session_id", "stretch").orderBy("snapshot_id")
-    scores = F.collect_list("raw_score").over(order.rowsBetween(-reach, 0))
-    fold = F.aggregate(
-        F.slice(F.col("scores"), 2, F.size("scores")),
-        F.get(F.col("scores"), F.lit(0)),
-        lambda s, r: F.lit(alpha) * r + F.lit(1.0 - alpha) * s,
-    )
-    smoothed = copies.withColumn("scores", scores).withColumn("smoothed_score", fold).drop("scores")
+    if keep == 0:
+        smoothed = placed.withColumn("smoothed_score", F.col("raw_score"))
+    else:
+        def weight(power: Column) -> Column:
+            return F.pow(F.lit(keep), power)
+
+        # One row for each stretch: its sum at its end, its first tick.
+        ends = placed.groupBy(F.col("session_id").alias("of"), F.col("stretch").alias("at")).agg(
+            F.sum(F.lit(alpha) * F.col("raw_score") * weight(-F.col("off"))).alias("sum"),
+            F.min(F.struct("snapshot_id", "raw_score")).alias("head"),
+        )
+        over = Window.partitionBy("of").orderBy("at")
+        start = F.min("head").over(Window.partitionBy("of"))
+        local = F.col("sum") * weight(F.lit(stretch - 1))
+        whole = weight(F.lit(stretch))
+        carried = F.coalesce(F.lag(local, 1).over(over), F.lit(0.0)) + whole * F.coalesce(F.lag(local, 2).over(over), F.lit(0.0))
+        brought = ends.select("of", "at", carried.alias("carried"), start.alias("start"))
+        same = F.col("session_id").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at"))
+        running = F.sum(F.lit(alpha) * F.col("raw_score") * weight(-F.col("off"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        # The first tick counts whole, not by ``alpha``.
+        first = weight(F.col("snapshot_id") - F.col("start.snapshot_id") + 1) * F.col("start.raw_score")
+        smoothed = (
+            placed.join(brought, same)
+            .withColumn("smoothed_score", running * weight(F.col("off")) + F.col("carried") * weight(F.col("off") + 1) + first)
+            .drop("of", "at", "carried", "start")
+        )
 
+    # A stretch's first states look back into the one before.
+    back = max(needed for _, _, needed in STATE_RULES) - 1
+    looked = F.when(F.col("off") >= stretch - back, F.array("stretch", F.col("stretch") + 1)).otherwise(F.array("stretch"))
+    copies = smoothed.withColumn("home", F.col("stretch")).withColumn("stretch", F.explode(looked))
     above = {}
     for level, score, ticks_needed in STATE_RULES:
         lowest = F.min("smoothed_score").over(order.rowsBetween(-(ticks_needed - 1), 0))
         seen = F.count("*").over(order.rowsBetween(-(ticks_needed - 1), 0))
         above[level] = (lowest >= score) & (seen == ticks_needed)
     return (
-        smoothed.withColumn("state", state_of(above, F.col("constraint"), F.col("thrash")))
+        copies.withColumn("state", state_of(above, F.col("constraint"), F.col("thrash")))
         .where(F.col("stretch") == F.col("home"))
-        .drop("home", "stretch")
+        .drop("home", "stretch", "off")
     )
 
 
@@ -494,4 +520,5 @@ def rot_replay(
     ticks = rot_modules(replayed, keys, rules).select(
         *keys, "raw_score", F.col("constraint")["value"].alias("constraint"), F.col("thrash")["value"].alias("thrash")
     )
-    return smooth(ticks, alpha)
+    smoothed = smooth(ticks, alpha)
+    return smoothed.withColumns({name: shown(name) for name in ("raw_score", "smoothed_score")})

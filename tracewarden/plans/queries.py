@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewarden.functions import classify as c, status, text
+from tracewarden.functions import classify as c, fixed_values as fv, status, text
 from tracewarden.model import CATEGORIES
 from tracewarden.operators import agents as ag, buffer as b, health as h, rot, score, security as x, turns as t
 from tracewarden.operators.detector import Detector, detect
@@ -277,24 +276,31 @@ for _name in DETECTORS:
     QUERIES[_name] = _detector_query(_name)
 
 
+#: Characters that ``data_exfiltration`` takes for a large payload.
+LARGE = 10_000
+
+
 @query
 def docs_secret_scan(spark, folder):
-    """Secrets anywhere in a source's documents: the window is the whole buffer."""
-    buffered = b.buffer(tables.document_actions(spark, folder))
-    return warnings_with(detect(buffered, [x.secret_in_output(window=500)]), ["size"])
+    """Every document that holds a secret: one row for each rule it meets."""
+    texts = tables.table(spark, folder, "documents").select("doc_id", "source", "text")
+    rules = F.array(*(F.when(F.col("text").rlike(fv.any_of([p])), n) for n, p in enumerate(fv.SECRETS)))
+    hits = texts.withColumn("rule", F.explode(F.filter(rules, lambda n: n.isNotNull())))
+    return plain(hits.select("doc_id", "source", "rule", F.length("text").alias("size")))
 
 
 @query
 def docs_large_outgoing(spark, folder):
-    buffered = b.buffer(tables.document_actions(spark, folder))
-    return warnings_with(detect(buffered, [x.data_exfiltration()]), ["size_bytes"])
+    """Every document larger than an answer should be."""
+    size = F.length("text")
+    return plain(tables.table(spark, folder, "documents").where(size > LARGE).select("doc_id", "source", size.alias("size_bytes")))
 
 
 @query
 def pages_hidden_content(spark, folder):
-    """Pages holding an HTML comment, one session per host."""
-    buffered = b.buffer(tables.page_actions(spark, folder))
-    return warnings_with(detect(buffered, [x.hidden_instruction(patterns=["<!--"])]), ["source"])
+    """Every page holding an HTML comment."""
+    pages = tables.table(spark, folder, "pages").where(F.col("html").contains("<!--"))
+    return plain(pages.select("page_id", F.parse_url(F.col("url"), F.lit("HOST")).alias("host")))
 
 
 @query
@@ -402,7 +408,7 @@ def rot_report(spark, folder):
     report = rot.rot_report(event_buffer(spark, folder), rules=RULES)
     return plain(
         report.select(
-            "session_id", "n_turns", F.round("raw_score", 6).alias("raw_score"), "state", "state_label",
+            "session_id", "n_turns", "raw_score", "state", "state_label",
         )
     )
 
@@ -412,8 +418,7 @@ def rot_replay(spark, folder):
     ticks = rot.rot_replay(b.replay(events(spark, folder), every=10, max_size=50))
     return plain(
         ticks.select(
-            "session_id", "snapshot_id", F.round("raw_score", 6).alias("raw_score"),
-            F.round("smoothed_score", 6).alias("smoothed_score"), "state",
+            "session_id", "snapshot_id", "raw_score", "smoothed_score", "state",
         )
     )
 
@@ -684,7 +689,7 @@ def detect_dialects(spark, folder):
 def _drained(stream: DataFrame) -> DataFrame:
     """Everything a stream has to say about the data at hand, through a table in the shared folder."""
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(spark)
     writer = stream.writeStream.format("parquet").option("path", f"{place}/out")
     writer.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
@@ -698,14 +703,18 @@ def stream_new_skills(spark, folder):
 
 @query
 def stream_live_spans(spark, folder):
-    """Users seen again within a day; spans still open at the end are not reported."""
+    """Users seen again within a day; spans still open at the end are marked."""
     seen = tables.event_stream(spark, folder).select(
         F.col("user_id").alias("agent_key"), F.col("ts").cast("timestamp").alias("taken_at")
     )
     spans = _drained(watch.live_spans(seen, timeout="24 hours", lateness="10 seconds"))
-    return spans.select(
+    table = tables.table(spark, folder, "events").select(
+        F.col("user_id").alias("agent_key"), F.col("ts").cast("timestamp").alias("taken_at")
+    )
+    still = watch.open_spans(table, spans, timeout="24 hours").withColumn("open", F.lit(True))
+    return spans.withColumn("open", F.lit(False)).unionByName(still).select(
         "agent_key", F.unix_micros("seen_from").alias("seen_from"), F.unix_micros("expired_at").alias("expired_at"),
-        "sightings",
+        "sightings", "open",
     )
 
 
@@ -724,7 +733,7 @@ def stream_smoothing(spark, folder):
 @query
 def stream_reports(spark, folder):
     """Reports of the last micro-batch of the continuous evaluation."""
-    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(spark)
     writer = watch.watch(tables.event_action_stream(spark, folder), f"{place}/reports", f"{place}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(f"{place}/reports")
