@@ -1205,6 +1205,16 @@ ORACLES["detect_dialects"] = """
 select concat(d.p, '/u', user_id) as source_file, d.dialect, min(event_id) as locked_at
 from events, (values ('s', 'structured'), ('r', 'role'), ('f', 'unknown')) d(p, dialect) group by all"""
 
+ORACLES["log_reports"] = f"""with {EVENTS},
+o as (
+  select *, row_number() over (partition by session_id order by event_id % 200 >= 100 desc, event_id desc) as rd from a
+)
+select session_id, count(*) as action_count, cast(sum(tokens_in + tokens_out) as bigint) as total_tokens,
+  count(error_message) as error_count, count(distinct file_path) as files_touched,
+  string_agg(tool_name, ',' order by rd desc) filter (rd <= 5) as last_tools
+from o group by session_id"""
+ORACLES["session_filter"] = f"with {EVENTS} select session_id, count(*) as actions from a where session_id = 'u3' group by session_id"
+
 # --- streams ---------------------------------------------------------------------------------------------------------------
 
 ORACLES["stream_new_skills"] = f"with {EVENTS} select distinct session_id, skill_name from a where skill_name is not null"

@@ -6,7 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from tracewarden.plans import queries as q
+from tracewarden.operators import buffer
+from tracewarden.plans import queries as q, reports
 from tracewarden.sources import jsonl, tables
 
 STRUCTURED = [
@@ -71,7 +72,7 @@ def logs(folder):
 
 def test_dialects_and_actions(spark, folder):
     logs(folder)
-    rows = jsonl.read_actions(spark, folder).orderBy("source_file", "seq", "sub").collect()
+    rows = jsonl.read_actions(spark, folder, per=None).orderBy("source_file", "seq", "sub").collect()
     by = {}
     for r in rows:
         by.setdefault(os.path.basename(r.source_file), []).append(r)
@@ -93,8 +94,8 @@ def test_dialects_and_actions(spark, folder):
     assert [(x.tool_type, x.success, x.file_path, x.command, x.error_message) for x in f] == [
         ("read", True, "q.py", None, None), ("bash", False, None, "make", "E"), ("bash", False, None, "x", None),
         ("read", False, None, None, None)]
-    assert {r.session_id for r in jsonl.read_actions(spark, folder, session_id="r1").collect()} == {"r1"}
-    keyed = jsonl.with_session_key(jsonl.read_actions(spark, folder)).where(F.col("session_id").endswith("f.jsonl"))
+    assert {r.session_id for r in jsonl.read_actions(spark, folder, session_id="r1", per=None).collect()} == {"r1"}
+    keyed = jsonl.read_actions(spark, folder, per="session").where(F.col("session_id").endswith("f.jsonl"))
     assert keyed.count() == 4
 
 
@@ -116,6 +117,22 @@ def test_line_order_over_many_splits(spark, folder):
             spark.conf.set(k, v)
 
 
+def test_logs_are_not_mixed(spark, folder):
+    """Two logs without ids are two sessions; a session in two files goes by the files' times."""
+    for name in "ab":
+        write(folder, f"{name}.jsonl", [json.dumps({"tool": "Read", "file": f"{name}{i}"}) for i in range(12)])
+    found = reports.check(jsonl.read_actions(spark, folder)).collect()
+    assert sorted((os.path.basename(r.session_id), r.action_count) for r in found) == [("a.jsonl", 12), ("b.jsonl", 12)]
+    parts = os.path.join(folder, "parts")
+    for name, age in (("z_old", 100), ("a_new", 10)):
+        write(parts, f"{name}.jsonl", [json.dumps({"sessionId": "s", "tool": "Read", "file": f"{name}-{i}"}) for i in range(3)])
+        os.utime(os.path.join(parts, f"{name}.jsonl"), (time.time() - age, time.time() - age))
+    rows = buffer.buffer(jsonl.read_actions(spark, parts, per="session")).orderBy("pos").collect()
+    assert [r.file_path for r in rows] == [f"z_old-{i}" for i in range(3)] + [f"a_new-{i}" for i in range(3)]
+    assert {r.session_id for r in rows} == {"s"}
+    assert {os.path.basename(r.session_id) for r in jsonl.read_actions(spark, parts).collect()} == {"z_old.jsonl", "a_new.jsonl"}
+
+
 def test_catalog_newest_first(spark, folder):
     logs(folder)
     os.utime(os.path.join(folder, "f.jsonl"), (time.time() + 60, time.time() + 60))
@@ -130,7 +147,7 @@ def test_round_trip_of_the_events(spark, folder):
     lines = q.structured_lines(spark, data)
     lines.repartitionByRange(3, "source_file", "seq").sortWithinPartitions("source_file", "seq").select("value").write.text(folder + "/logs")
     direct = jsonl.parse_logs(lines)
-    back = jsonl.read_actions(spark, folder + "/logs", pattern="*.txt")
+    back = jsonl.read_actions(spark, folder + "/logs", pattern="*.txt", per=None)
     columns = [c for c in direct.columns if c not in ("source_file", "seq")]
     assert back.select(columns).exceptAll(direct.select(columns)).count() == 0
     assert back.count() == direct.count() == tables.table(spark, data, "events").count()

@@ -683,6 +683,29 @@ def detect_dialects(spark, folder):
     return jsonl.detect_dialect(jsonl.parse_lines(lines))
 
 
+@query
+def log_reports(spark, folder):
+    """Lines of logs that hold half a session each -> actions -> one report for each session, in order of the files."""
+    lines = flat_lines(spark, folder).withColumn("session", F.col("source_file"))
+    part = F.when(F.col("seq") % 200 < 100, 0).otherwise(1)
+    lines = lines.withColumn("source_file", F.concat_ws("/", "session", part.cast("string")))
+    files = lines.select("source_file").distinct().withColumn("modified", F.substring_index("source_file", "/", -1).cast("long"))
+    parsed = jsonl.in_file_order(jsonl.parse_logs(lines.select("source_file", "seq", "value")), files)
+    actions = parsed.withColumn("session_id", F.substring_index("source_file", "/", 1))
+    stats = b.session_stats(actions).select("session_id", "action_count", "total_tokens", "error_count", "files_touched")
+    last = b.buffer(actions, 5).groupBy(F.col("session_id").alias("of")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tool_name"))), lambda r: r["tool_name"]), ",").alias("last_tools")
+    )
+    return plain(stats.join(last, F.col("session_id").eqNullSafe(F.col("of"))).drop("of"))
+
+
+@query
+def session_filter(spark, folder):
+    """Parsed logs cut to one session."""
+    parsed = jsonl.filter_session(jsonl.parse_logs(structured_lines(spark, folder)), "u3")
+    return plain(parsed.groupBy("session_id").agg(F.count("*").alias("actions")))
+
+
 # --- streams, run to the end of the table and read back ---------------------------------------------------
 
 
