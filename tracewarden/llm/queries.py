@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewarden.llm import boilerplate, decontaminate, licenses, mixing, secrets, simhash, spotsigs, suffixes, tokens, toxicity
+from tracewarden.llm.oracles import ORACLES  # noqa: F401
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -70,4 +71,3 @@ QUERIES = {
     "op9_suffixes": op9_suffixes,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op8_lines": boilerplate.ORACLE}
