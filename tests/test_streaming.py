@@ -52,11 +52,11 @@ def event_actions(spark):
 
 
 def test_watch_equals_batch(spark, folder):
-    actions = event_actions(spark)
-    stream = stream_of(spark, actions, folder + "/in", 2)
+    actions = event_actions(spark).withColumn("session_id", F.when(F.col("session_id") != "u3", F.col("session_id")))
+    stream = stream_of(spark, actions, folder + "/in", 4)
     run(w.watch(stream, folder + "/reports", folder + "/checkpoint", max_size=40))
     ticks = spark.read.parquet(folder + "/reports")
-    assert ticks.select("tick").distinct().count() == 2
+    assert ticks.select("tick").distinct().count() == 4
     columns = ["overall_score", "detector_score", "efficiency_score", "raw_score"]
     latest = ticks.groupBy("session_id").agg(F.max_by(F.struct(*columns), "tick").alias("r")).select("session_id", "r.*")
     batch = reports.session_health(actions, include_security=True, max_size=40).withColumnRenamed("rot_score", "raw_score")
@@ -65,6 +65,18 @@ def test_watch_equals_batch(spark, folder):
     assert got.keys() == expected.keys()
     for session, values in expected.items():
         assert got[session] == pytest.approx(values, abs=1e-9)
+    live = w.live_reports(spark, folder + "/reports").writeStream.format("parquet").option("path", folder + "/live")
+    run(live.option("checkpointLocation", folder + "/live-checkpoint"))
+    found = {(r.session_id, r.tick): r for r in spark.read.parquet(folder + "/live").collect()}
+    smoothed = {}
+    rows = sorted(ticks.collect(), key=lambda r: r.tick)
+    assert len(found) == len(rows) and None in {r.session_id for r in rows}
+    for r in rows:
+        before = smoothed.get(r.session_id)
+        s = smoothed[r.session_id] = r.raw_exact if before is None else rot.ALPHA * r.raw_exact + (1 - rot.ALPHA) * before
+        mixed = 0.4 * r.detector_score + 0.3 * r.efficiency_score + 0.3 * int((1.0 - round(s, 4)) * 100)
+        assert found[r.session_id, r.tick].smoothed_score == round(s, 4)
+        assert abs(found[r.session_id, r.tick].overall_score - mixed) <= 1 and found[r.session_id, r.tick].overall_score <= mixed + 1e-9
 
 
 def test_ingest_of_landed_segments(spark, folder):

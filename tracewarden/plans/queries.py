@@ -755,11 +755,11 @@ def stream_smoothing(spark, folder):
 
 @query
 def stream_reports(spark, folder):
-    """Reports of the last micro-batch of the continuous evaluation."""
+    """Reports of the last micro-batch of the continuous evaluation, on smoothed rot scores."""
     place = shared_folder(spark)
     writer = watch.watch(tables.event_action_stream(spark, folder), f"{place}/reports", f"{place}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.parquet(f"{place}/reports")
+    found = _drained(watch.live_reports(spark, f"{place}/reports"))
     latest = found.groupBy("session_id").agg(
         F.max_by(F.struct("detector_score", "efficiency_score", "overall_score"), "tick").alias("r")
     )
