@@ -16,8 +16,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.shared import NO_ID, ascii_lower, saved
-from tracewarden.llm.spotsigs import let
+from tracewarden.llm.shared import NO_ID, ascii_lower, let, saved
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARE = 0.8

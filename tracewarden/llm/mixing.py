@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.shared import NO_ID, keyed, saved, unkeyed
+from tracewarden.llm.shared import NO_ID, keyed, let, partitions, saved, unkeyed
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -83,7 +83,7 @@ def slots(table: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """One row for each slot of the mix: no, block, pass (0, 1), position in the whole output and its shard."""
     chunks = table.where("slots > 0").select("no", "blocks", "slots", "first", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
-    each = chunks.repartition("no", "chunk").select("no", "blocks", "first", "total", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
+    each = chunks.repartition(partitions(table.sparkSession), "no", "chunk").select("no", "blocks", "first", "total", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     key = F.xxhash64(F.lit(seed), F.col("no"), turn)
     position = permuted(F.col("first") + F.col("slot"), F.col("total"), F.lit(seed))
@@ -124,12 +124,17 @@ def taken(df: DataFrame, block: int = BLOCK) -> DataFrame:
     docs = saved(placed(rows, table), "placed")
     counts = slots(table).groupBy("no", "block").agg(F.count("*").alias("times"))
     columns = ["doc_id", "row", "no", "start", "size", "source_size", "target"]
-    met = pieces(docs, block).join(counts, ["no", "block"], "left")
+    # The planner takes the slots for as few as the sources they come from: no broadcast.
+    met = pieces(docs, block).join(counts.hint("merge"), ["no", "block"], "left")
     some = met.groupBy(*columns).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     none = docs.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
     return some.union(none).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _more_than(n: int):
+    return lambda part: part["times"] > n
+
+
 def mixed(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as documents: for each pass the parts of a document that are taken, with its other columns; n_chars, if
     there is one, follows the text. Documents of which nothing is taken are gone, parts taken twice stand in two rows."""
@@ -137,7 +142,7 @@ def mixed(df: DataFrame, block: int = BLOCK) -> DataFrame:
     table = saved(sources(rows, block), "sources")
     docs = placed(rows, table)
     counts = slots(table).groupBy("no", "block").agg(F.count("*").alias("times"))
-    met = pieces(docs, block).join(counts, ["no", "block"])
+    met = pieces(docs, block).join(counts.hint("merge"), ["no", "block"])
     # A document's parts are bounded by its text; equal rows have their starts apart.
     each = met.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row", "start").agg(F.sort_array(F.collect_list(F.struct("from", "words", "times"))).alias("parts"))
     plans = saved(each.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct("start", "parts"))).alias("plans")), "plans")
@@ -146,10 +151,17 @@ def mixed(df: DataFrame, block: int = BLOCK) -> DataFrame:
     # Words with the white space after them; a leading run of it goes.
     white = r"\x20\x09-\x0D"
     text = F.regexp_replace(F.col("doc.text").cast("string"), f"^[{white}]+", "")
-    split = joined.select("doc", F.split(text, f"(?<=[{white}])(?=[^{white}])").alias("all"), "plan", F.explode(F.array(*map(F.lit, range(MOST)))).alias("pass"))
-    parts = F.filter("plan", lambda p: p["times"] > F.col("pass"))
-    chosen = F.flatten(F.transform(parts, lambda p: F.slice("all", (p["from"] + 1).cast("int"), p["words"].cast("int"))))
-    out = split.select("doc", F.array_join(chosen, "").alias("mixed")).where("mixed != ''")
+
+    def chosen(words: Column) -> Column:
+        passes = []
+        for n in range(MOST):
+            parts = F.filter("plan", _more_than(n))
+            passes.append(F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(words, (p["from"] + 1).cast("int"), p["words"].cast("int")))), ""))
+        return F.array(*passes)
+
+    # The text is split once, however many parts are taken from it.
+    texts = let(F.split(text, f"(?<=[{white}])(?=[^{white}])"), chosen)
+    out = joined.select("doc", F.explode(texts).alias("mixed")).where("mixed != ''")
     changed = {"text": F.col("mixed")}
     if "n_chars" in df.columns:
         changed["n_chars"] = F.length("mixed").cast(df.schema["n_chars"].dataType)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more: it does so when they are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read on from there: cuts the lineage and survives lost executors.
 
-    Shuffles of the written plan are garbage afterwards; asking for a collection lets Spark delete their files.
+    Plans written before are garbage by then and are released first.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
+    release(spark)
     df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return written
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -46,6 +50,17 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def smallest(df: DataFrame, order: Column, rows: int) -> DataFrame:
+    """About the ``rows`` rows of ``df`` with the smallest ``order`` (a hash), never more, for the driver to collect.
+
+    Rows that cannot be among them go before the sort, so that tasks send it little more than it keeps, however many
+    tasks there are.
+    """
+    share = (1.2 * rows + 1000) / max(1, df.count())
+    place = F.pmod(order, F.lit(1 << 40))
+    return df.withColumn("place", place).where(F.col("place") < F.lit(int(min(1.0, share) * (1 << 40)))).orderBy("place").limit(rows)
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """The whole row as the struct ``doc``, beside its key: ``id`` (NO_ID where missing) and ``row`` (hash of the text).
 
@@ -53,13 +68,19 @@ def keyed(df: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return df.select(F.struct(*df.columns).alias("doc"), id_.alias("id"), F.xxhash64(text).alias("row"))
+    whole = F.struct(*("`" + c.replace("`", "``") + "`" for c in df.columns))
+    return df.select(whole.alias("doc"), id_.alias("id"), F.xxhash64(text).alias("row"))
 
 
 def unkeyed(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     return df.select(*(changed.get(c, F.col("doc").getField(c)).alias(c) for c in columns))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only: other letters stay as they are in every locale."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

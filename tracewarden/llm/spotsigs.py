@@ -9,12 +9,11 @@ not compared; the rest are compared by Jaccard's measure.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.shared import documents
+from tracewarden.llm.shared import documents, let
 
 #: Anchors, our own choice of very common words: English, German, French, Spanish.
 ANCHORS = (
@@ -30,11 +29,6 @@ RATIO, LEAST = 0.8, 0.05
 BUCKET, BUCKETS = 2000, 65_536
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
     """The sorted set of a text's signatures as 32-bit numbers. A text without any (null and empty ones too) has its
     whole hash as its only signature, so that only equal texts share it."""

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.shared import saved
+from tracewarden.llm.shared import saved, smallest
 
 #: Our own list of terms of abuse, English, a few German, French and Spanish ones.
 LEXICON = (
@@ -184,7 +184,7 @@ def fit(found: DataFrame, labels: DataFrame, rows: int = FITTED) -> list[float]:
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = found.join(marks, "doc_id").select("features", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    sample = smallest(found.join(marks, "doc_id"), F.xxhash64("doc_id"), rows).select("features", "toxic").collect()
     y = np.array([float(r.toxic > 0) for r in sample])
     if len(set(y.tolist())) < 2:
         return PRIOR
