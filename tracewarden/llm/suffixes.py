@@ -26,7 +26,8 @@ from tracewarden.llm.shared import NO_ID, documents, partitions, saved
 LENGTH, GRAM = 50, 24
 #: Bytes that are hashed at once.
 CHUNK = 1 << 18
-NONE = np.uint64(2**64 - 1)
+#: Six bytes of a hash are kept.
+LOW = np.uint64(2**48 - 1)
 
 
 def _words(buffer: np.ndarray, count: int) -> np.ndarray:
@@ -45,6 +46,7 @@ def gram_hashes(buffer: np.ndarray, count: int, gram: int) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(29)
+    h &= LOW
     return h
 
 
@@ -207,6 +209,27 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The low six bytes of each; a chance meeting of two costs a look at both, no more."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.ascontiguousarray(np.pad(parts, ((0, 0), (0, 2)))).view("<u8").reshape(-1)
+
+
+def _packed_texts(texts: np.ndarray) -> bytes:
+    """Each different text once, then the texts' numbers among them, in two bytes: a batch has fewer texts than that."""
+    some, number = np.unique(texts, return_inverse=True)
+    return len(some).to_bytes(4, "little") + some.tobytes() + number.astype("<u2").tobytes()
+
+
+def _unpacked_texts(data: bytes, count: int) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data, np.int64, size, 4)[np.frombuffer(data, "<u2", count, 4 + 8 * size)]
+
+
 def shared_grams(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, hashes): of each text the k-grams' hashes that another text has as well. ``texts``: row (its hash), bytes.
 
@@ -232,13 +255,13 @@ def shared_grams(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             for p in _grouped(_dest(hashes[start], count)):
                 at = start[p]
                 out_dest.append(int(_dest(hashes[at[:1]], count)[0]))
-                out_h.append(hashes[at].tobytes())
-                out_t.append(text[at].tobytes())
-                out_own.append(many[p].tobytes())
+                out_h.append(_packed(hashes[at]))
+                out_t.append(_packed_texts(text[at]))
+                out_own.append(np.packbits(many[p]).tobytes())
             for p in _grouped(text[within]):
                 at = np.flatnonzero(within)[p]
                 out_dest.append(-1 - int(text[at[0]]) % count)
-                out_h.append(hashes[at].tobytes())
+                out_h.append(_packed(hashes[at]))
                 out_t.append(text[at[:1]].tobytes())
                 out_own.append(b"")
             yield pa.RecordBatch.from_arrays([pa.array(out_dest, pa.int64()), *(pa.array(x, pa.binary()) for x in (out_h, out_t, out_own))], names=["dest", "hashes", "texts", "many"])
@@ -246,9 +269,12 @@ def shared_grams(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     def answer(group: pa.Table) -> pa.Table:
         if group.column("dest")[0].as_py() < 0:
             rows = [np.frombuffer(x, np.int64)[0] for x in group.column("texts").to_pylist()]
-            lists = [np.frombuffer(x, np.int64) for x in group.column("hashes").to_pylist()]
+            lists = [_unpacked(x).view(np.int64) for x in group.column("hashes").to_pylist()]
             return pa.table({"row": pa.array(rows, pa.int64()), "hashes": pa.array(lists, pa.list_(pa.int64()))})
-        hashes, text, many = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("texts", np.int64), ("many", np.bool_)))
+        per = [_unpacked(x) for x in group.column("hashes").to_pylist()]
+        hashes = np.concatenate(per)
+        text = np.concatenate([_unpacked_texts(x, len(p)) for x, p in zip(group.column("texts").to_pylist(), per)])
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(group.column("many").to_pylist(), per)])
         by = np.argsort(hashes, kind="stable")
         hashes, text, many = hashes[by], text[by], many[by]
         start = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
