@@ -30,12 +30,13 @@ def release(spark: SparkSession) -> None:
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read on from there: cuts the lineage and survives lost executors.
 
-    Plans written before are garbage by then and are released first.
+    Plans written before are garbage by then and are released first. Tables are packed tightly: they are read once or
+    twice and count as disk until then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     release(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
