@@ -8,6 +8,7 @@ segments make the keys more selective than plain pigeonhole pieces (21 bits inst
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -26,11 +27,11 @@ SEED = 42
 CHUNK, RUN = 1 << 16, 2048
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of the word shingles, repeats included; 0 without a word."""
+def hashes(text: str | None, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The hashes of the word shingles in order, repeats included, in pieces; none without a word."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lowers A-Z, splits at \x20 and \x09-\x0D
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
@@ -39,12 +40,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         starts, ends = starts[: len(found) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, ones = partial(xxhash.xxh64_intdigest, seed=SEED), np.zeros(BITS, np.int64)
+    digest = partial(xxhash.xxh64_intdigest, seed=SEED)
     for at in range(0, len(starts), CHUNK):
         pairs = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())
-        hashes = np.fromiter((digest(joined[a:b]) for a, b in pairs), "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        yield np.fromiter((digest(joined[a:b]) for a, b in pairs), "<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """SimHash of the word shingles, repeats included; 0 without a word."""
+    ones, count = np.zeros(BITS, np.int64), 0
+    for part in hashes(text, words):
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        count += len(part)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -179,6 +187,11 @@ def deduplicated(df: DataFrame, distance: int = DISTANCE, words: int = WORDS) ->
     # Partial: a row for each fingerprint before the classes meet.
     least = prints.groupBy("fingerprint").agg(F.min(F.struct(id_.alias("id"), "row")).alias("least"))
     stay = classes.join(least, "fingerprint").groupBy("class").agg(F.min("least").alias("least")).select("least.id", "least.row")
+    return staying(df, stay)
+
+
+def staying(df: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id and row are in ``stay``, of equal rows one."""
     kept = keyed(df).join(saved(stay, "stay"), ["id", "row"], "left_semi")
     first = Window.partitionBy("id", "row").orderBy("id")
     return unkeyed(kept.withColumn("nth", F.row_number().over(first)).where("nth = 1"), df.columns)
