@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates; DataFrame operations only.
 
 A block is a line. It meets a template if it holds a share of the template's different words of ``SHARE`` or more
-(containment). Words are ordered by how many documents hold them, rarest first; a block that meets a template must
+(containment), and the template's mark where it has one: of five words four would do without the one that matters. Words are ordered by how many documents hold them, rarest first; a block that meets a template must
 hold one of the template's ``size - need + 1`` rarest words (prefix filter), must have ``need`` template words at all
 (length filter), and the first common word must leave enough words behind it on both sides (positional filter). Pairs
 that pass are verified on the whole sets.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -22,25 +23,38 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARE = 0.8
 #: Phrases whose words stand consecutively, and their labels (given).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Our own templates: label and wording. Order and repeats of words do not matter.
+#: Our own templates: label, wording and the word that tells the license from others, where one does. Order and repeats
+#: of words do not matter.
 TEMPLATES = [
-    ("gpl", "licensed under the gnu general public license"),
-    ("gpl", "under the terms of the gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("apache", "licensed under the apache license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "subject to the terms of the mozilla public license"),
-    ("cc-by", "creative commons attribution license"),
-    ("cc-by-nc", "licensed under cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa"),
-    ("cc0", "to the extent possible under law waived all copyright and related rights"),
-    ("reserved", "all rights reserved"),
+    ("gpl", "licensed under the gnu general public license", None),
+    ("gpl", "under the terms of the gnu general public license", None),
+    ("lgpl", "gnu lesser general public license", "lesser"),
+    ("agpl", "gnu affero general public license", "affero"),
+    ("apache", "licensed under the apache license", "apache"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", None),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", None),
+    ("mpl", "subject to the terms of the mozilla public license", "mozilla"),
+    ("cc-by", "creative commons attribution license", None),
+    ("cc-by-nc", "licensed under cc by nc", "nc"),
+    ("cc-by-sa", "licensed under cc by sa", "sa"),
+    ("cc0", "to the extent possible under law waived all copyright and related rights", None),
+    ("reserved", "all rights reserved", None),
 ]
-#: (label, words, words needed)
-SETS = [(label, sorted(set(text.split())), math.ceil(SHARE * len(set(text.split())))) for label, text in TEMPLATES]
+
+
+def _sets(label: str, text: str, mark: str | None) -> list[tuple[str, list[str], int]]:
+    """(label, words, words needed) of a template. One with a mark stands for its wordings with the mark that hold the
+    share, each needed whole: a line that meets one of them holds the mark and the share, and the other way round."""
+    words = sorted(set(text.split()))
+    need = math.ceil(SHARE * len(words))
+    if mark is None:
+        return [(label, words, need)]
+    others = [w for w in words if w != mark]
+    return [(label, sorted((mark, *some)), need) for some in combinations(others, need - 1)]
+
+
+SETS = [x for template in TEMPLATES for x in _sets(*template)]
 VOCABULARY = sorted({w for _, words, _ in SETS for w in words})
 
 
