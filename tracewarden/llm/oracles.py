@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewarden.llm import boilerplate, licenses
+from tracewarden.llm import boilerplate, chosenpaths, licenses, prefixes
 
 
 def _texts(items) -> str:
@@ -35,4 +35,9 @@ FROM p LEFT JOIN best USING (k)
 """
 
 
-ORACLES = {"op5_licenses": _licenses(), "op8_lines": boilerplate.ORACLE}
+ORACLES = {
+    "op5_licenses": _licenses(),
+    "op8_lines": boilerplate.ORACLE,
+    "op12_chosenpaths": chosenpaths.ORACLE,
+    "op13_prefixes": prefixes.ORACLE,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import boilerplate, decontaminate, licenses, mixing, secrets, simhash, spotsigs, suffixes, tokens, toxicity
+from tracewarden.llm import boilerplate, chosenpaths, decontaminate, licenses, mixing, prefixes, secrets, simhash, spotsigs, suffixes, tokens, toxicity, whitening
 from tracewarden.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -59,6 +59,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op12_chosenpaths(spark: SparkSession, folder: str) -> DataFrame:
+    return chosenpaths.near_duplicates(table(spark, folder, "documents"))
+
+
+def op13_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_spotsigs": op2_spotsigs,
@@ -70,4 +82,7 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_suffixes": op9_suffixes,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_chosenpaths": op12_chosenpaths,
+    "op13_prefixes": op13_prefixes,
 }

@@ -27,15 +27,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
+def saved(df: DataFrame, name: str = "table", tidy: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read on from there: cuts the lineage and survives lost executors.
 
-    Plans written before are garbage by then and are released first. Tables are packed tightly: they are read once or
-    twice and count as disk until then.
+    Plans written before are garbage by then and are released first if ``tidy`` (not worth it between small tables).
+    Tables are packed tightly: they are read once or twice and count as disk until then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    release(spark)
+    if tidy:
+        release(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,6 +88,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, of: str, n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table`` beside their ``key`` (null where it has none).
+
+    ``table`` has each key ``of`` once, and in ``n`` how many of the ``total`` rows have it. Keys of more than a 1024th of
+    all rows, so fewer than 1024, are broadcast; rows that met one get keys of their own for the join with the others.
+    """
+    most = max(1000, total // 1024)
+    more = [c for c in table.columns if c not in (of, n)]
+    few = table.where(F.col(n) > most).select(F.col(of).alias("few"), *(F.col(c).alias(f"few_{c}") for c in more))
+    rest = table.where(F.col(n) <= most).select(of, *more)
+    near = rows.join(F.broadcast(few), F.col(key) == F.col("few"), "left")
+    # No key in common: null joins with nothing, and the left side's rows stay where they are only if salted.
+    near = near.withColumn("by", F.when(F.col("few").isNull(), F.col(key))).withColumn("salt", F.when(F.col("few").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    joined = near.join(rest.withColumn("of_salt", F.lit(-1).cast("long")), (F.col("by") == F.col(of)) & (F.col("salt") == F.col("of_salt")), "left")
+    return joined.select(*rows.columns, *(F.when(F.col("few").isNull(), F.col(c)).otherwise(F.col(f"few_{c}")).alias(c) for c in more))
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every u has one v, which is no u itself."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
@@ -94,7 +112,7 @@ def _stars(edges: DataFrame) -> bool:
     return seen.where("up > 1 or up = 1 and root = 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tidy: bool = True) -> DataFrame:
     """(node, component) of an undirected graph: component is the smallest node reachable; nodes without edges are absent.
 
     ``edges`` has two columns of one ordered type. Alternating large-star and small-star steps (Kiveris et al. 2014)
@@ -103,14 +121,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     # (u, v) with v < u
-    now = saved(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    now = saved(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges", tidy)
     while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("m", "u").alias("m"))
         large = both.join(least, F.col("u") == F.col("x")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(down, F.col("u") == F.col("x")).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.union(down).distinct(), "edges")
+        now = saved(small.union(down).distinct(), "edges", tidy)
     pairs = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.union(roots)
