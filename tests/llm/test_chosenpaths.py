@@ -111,7 +111,7 @@ def test_sketches_keep_pairs_at_the_threshold():
             a = np.sort(values[:size])
             b = np.sort(np.r_[values[:both], values[size : 2 * size - both]])
             sketches = np.frombuffer(chosenpaths.sketch(a) + chosenpaths.sketch(b), np.uint8).reshape(2, -1)
-            assert len(chosenpaths.likely(np.array([size, size]), sketches, np.array([0, 1]))) == 1
+            assert len(chosenpaths.likely(np.array([size, size]), sketches, np.array([0, 1]), np.array([0, 1]))) == 1
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])

@@ -8,10 +8,13 @@ documents are compared exhaustively, on whole sets; larger ones are branched fur
 
 Three rules keep the work in proportion to the documents, without losing a link between components:
 
-- A node whose documents are all connected already is done. Later trees therefore only see what earlier ones left.
+- A node whose documents are all connected already, or were all compared in one earlier node, is done. Later trees
+  therefore only see what earlier ones left.
 - Before sets travel, sketches (the least token of each of 128 ranges) drop documents that have no likely partner.
 - A node too large to be compared is dealt to parts, each with the same few pivots. Copies of one text connect through
-  the pivots at once. What is still apart after the last level is compared with every part, in blocks.
+  the pivots at once. Documents that are still apart from the node's main component are compared with every part, in
+  blocks: as soon as they are few or less than half, which settles the node, and on the last level in any case.
+  (Branching would not split such a node: its documents choose alike.)
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ PASSES = ((0,), (1, 2, 3))
 TREES, LEVELS, CHOICES = 4, 3, 2
 #: Sets that are compared in one node; pivots in each part of a larger one.
 LEAF, PIVOTS = 128, 4
+#: Blocks of LEAF documents apart from the main component up to which a large node is settled instead of branched.
+BLOCKS = 4
 #: Ranges of a sketch. Sets of at least ENOUGH tokens are dropped below a likeness of LIKELY: five standard deviations.
 RANGES, ENOUGH, LIKELY = 128, 256, 0.65
 SEED = 12
@@ -105,11 +110,11 @@ def described(df: DataFrame, words: int = WORDS) -> DataFrame:
     return hashed.mapInArrow(run, "doc_id long, row long, print binary, size long, picks array<long>, sketch binary")
 
 
-def likely(sizes: np.ndarray, sketches: np.ndarray, parts: np.ndarray) -> list[np.ndarray]:
-    """Groups of positions that likely pairs connect: of different components, of sizes and sketches near enough."""
+def likely(sizes: np.ndarray, sketches: np.ndarray, parts: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
+    """Groups of positions that likely pairs connect: neither connected nor compared yet, of sizes and sketches near enough."""
     over, under = LIKENESS
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    may = (parts[:, None] != parts[None, :]) & (under * small >= over * large)
+    may = (parts[:, None] != parts[None, :]) & (known[:, None] != known[None, :]) & (under * small >= over * large)
     for i in np.flatnonzero(may.any(axis=1)):
         js = i + 1 + np.flatnonzero(may[i, i + 1 :])
         js = js[small[i, js] >= ENOUGH]
@@ -168,17 +173,35 @@ class Join:
         self.sets = saved(of, "sets")
         self.links: DataFrame | None = None
         self.component: DataFrame | None = None
+        self.settled: DataFrame | None = None
 
     def labelled(self) -> DataFrame:
-        """print and its component so far: a print that stands for it."""
-        prints = self.sets.select("print")
+        """print, its component so far (``part``, a print that stands for it), and ``known``: the largest node that it
+        was settled in, else the component. Documents of one part or one known node need no comparison."""
+        found = self.sets.select("print")
         if self.component is None:
-            return prints.withColumn("part", F.col("print"))
-        found = prints.join(self.component, F.col("print") == F.col("node"), "left")
-        return found.select("print", F.coalesce("component", "print").alias("part"))
+            return found.select("print", F.col("print").alias("part"), F.col("print").alias("known"))
+        found = found.join(self.component, F.col("print") == F.col("node"), "left").select("print", F.coalesce("component", "print").alias("part"))
+        if self.settled is None:
+            return found.withColumn("known", F.col("part"))
+        done = self.settled.select(F.col("print").alias("of"), F.unhex(F.hex("in.node")).alias("done"))
+        return found.join(done, F.col("print") == F.col("of"), "left").select("print", "part", F.coalesce("done", "part").alias("known"))
+
+    def settle(self, members: DataFrame) -> None:
+        """Remember the members of large nodes all pairs of which have been compared."""
+        new = members.select("print", F.struct("count", "node").alias("in"))
+        every = new if self.settled is None else new.union(self.settled)
+        self.settled = saved(every.groupBy("print").agg(F.max("in").alias("in")), "settled", tidy=False)
 
     def add(self, found: DataFrame) -> None:
-        found = saved(found, "links", tidy=False)
+        # Texts that are not wanted should not be shuffled: Spark may filter them by a Bloom filter of bounded size.
+        key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "0")
+        try:
+            found = saved(found, "links", tidy=False)
+        finally:
+            self.spark.conf.set(key, before)
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
             self.component = saved(components(self.links, tidy=False), "component", tidy=False)
@@ -187,50 +210,64 @@ class Join:
 
     def children(self, members: DataFrame, level: int) -> DataFrame:
         """(tree, node, print) one level down; ``members`` has tree, node and print."""
-        chosen = members.join(self.sets.select("print", "picks"), "print")
+        chosen = members if level == 0 else members.join(self.sets.select("print", "picks"), "print")
         at = (F.col("tree") * LEVELS + level) * CHOICES
         named = [F.xxhash64("node", F.lit(level), F.lit(c), F.get("picks", at + c)) for c in range(CHOICES)]
         return chosen.select("tree", "print", F.explode(F.array(*named)).alias("node")).select("tree", "node", "print")
 
     def counted(self, members: DataFrame) -> DataFrame:
-        """Members of nodes that are not done, with their component ``part``, the node's ``count`` and its most frequent
-        component ``main``."""
-        labelled = members.join(self.labelled(), "print")
-        by_part = labelled.groupBy("node", "part").agg(F.count("*").alias("m"))
-        nodes = by_part.groupBy("node").agg(F.sum("m").alias("n"), F.count("*").alias("parts"), F.max(F.struct("m", "part")).alias("main"))
-        open_ = saved(nodes.where("parts > 1").select(F.col("node").alias("of"), "n", F.col("n").alias("count"), F.col("main.part").alias("main")), "nodes", tidy=False)
-        total = int(nodes.agg(F.sum("n")).first()[0] or 0)
-        return looked_up(labelled, "node", open_, "of", "n", total).where("count is not null")
-
-    def dealt(self, members: DataFrame) -> DataFrame:
-        """(grp, print): small nodes as they are, members of large ones by parts, each with the node's pivots."""
+        """Members of nodes that are not done, with what labelled() says, the node's ``count`` and main group, the most
+        frequent ``known``, and how many members are ``off`` it."""
+        total = members.count()
+        shared = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("of"), "n", F.col("n").alias("count"))
+        met = looked_up(members, "node", saved(shared, "shared", tidy=False), "of", "n", total).where("count is not null")
+        labelled = saved(met.join(self.labelled(), "print"), "labelled", tidy=False)
+        if self.component is None:
+            return labelled.withColumns({"main": F.lit(None).cast("binary"), "off": F.col("count") - 1})
+        groups = labelled.groupBy("node", "known").agg(F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high"))
+        nodes = groups.groupBy("node").agg(
+            F.sum("m").alias("n"), F.count("*").alias("groups"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.struct("m", "known")).alias("most"))
+        open_ = nodes.where("groups > 1 and low < high").select(F.col("node").alias("of"), "n", F.col("most.known").alias("main"), (F.col("n") - F.col("most.m")).alias("off"))
+        found = looked_up(labelled, "node", saved(open_, "nodes", tidy=False), "of", "n", total).where("off is not null")
+        return saved(found, "counted", tidy=False)
+
+    def small(self, members: DataFrame) -> DataFrame:
+        """(grp, print) for nodes that are compared as they are."""
+        return members.where(F.col("count") <= LEAF).select(F.col("node").alias("grp"), "print")
+
+    def few(self, members: DataFrame) -> DataFrame:
+        """Members of large nodes that are settled now."""
+        return members.where((F.col("count") > LEAF) & F.col("main").isNotNull() & ((F.col("off") <= BLOCKS * LEAF) | (2 * F.col("off") <= F.col("count"))))
+
+    def many(self, members: DataFrame) -> DataFrame:
+        """Members of large nodes that are not."""
+        return members.where((F.col("count") > LEAF) & (F.col("main").isNull() | (F.col("off") > BLOCKS * LEAF) & (2 * F.col("off") > F.col("count"))))
+
+    def parts(self, large: DataFrame) -> DataFrame:
+        """(grp, print): members of large nodes by parts, each with the node's pivots."""
         h = F.xxhash64("print", F.lit(SEED))
-        small = members.where(F.col("count") <= LEAF).select(F.col("node").alias("grp"), "print")
-        large = members.where(F.col("count") > LEAF).withColumn("in_all", F.ceil(F.col("count") / LEAF))
-        parts = large.select(F.xxhash64("node", F.pmod(h, "in_all")).alias("grp"), "print")
+        large = large.withColumn("in_all", F.ceil(F.col("count") / LEAF))
+        each = large.select(F.xxhash64("node", F.pmod(h, "in_all")).alias("grp"), "print")
         lowest = large.groupBy("node").agg(F.max("in_all").alias("in_all"), *(
             F.min(F.when(F.pmod(h, F.lit(PIVOTS)) == k, F.struct(h.alias("h"), F.col("print").alias("print")))).alias(f"p{k}") for k in range(PIVOTS)))
         pivots = lowest.select("node", "in_all", F.explode(F.array(*(F.col(f"p{k}.print") for k in range(PIVOTS)))).alias("print")).where("print is not null")
         everywhere = pivots.select("print", F.explode(F.sequence(F.lit(0).cast("long"), F.col("in_all") - 1)).alias("at"), "node")
-        return small.union(parts).union(everywhere.select(F.xxhash64("node", "at").alias("grp"), "print")).distinct()
-
-    def apart(self, members: DataFrame) -> DataFrame:
-        """(grp, print) for large nodes of the last level: what is not in the main component meets every part, in blocks."""
-        h = F.xxhash64("print", F.lit(SEED + 1))
-        placed = members.withColumn("in_all", F.ceil(F.col("count") / LEAF)).withColumn("at", F.pmod(h, "in_all")).withColumn("off", F.col("part") != F.col("main"))
-        blocks = placed.where("off").select("node", "in_all", "print", F.pmod(F.xxhash64("print", F.lit(SEED + 2)), "in_all").alias("block"))
-        used = blocks.select("node", "block").distinct()
-        sizes = used.groupBy(F.col("node").alias("of")).agg(F.collect_set("block").alias("blocks"), F.count("*").alias("n"))
-        held = looked_up(placed, "node", sizes, "of", "n", max(1, members.count())).where("blocks is not null")
-        others = held.select("node", "at", F.explode("blocks").alias("block"), "print")
-        those = blocks.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("in_all") - 1)).alias("at"), "block", "print")
-        return others.union(those).select(F.xxhash64("node", "at", "block").alias("grp"), "print").distinct()
+        return each.union(everywhere.select(F.xxhash64("node", "at").alias("grp"), "print"))
+
+    def apart(self, large: DataFrame) -> DataFrame:
+        """(grp, print): what is not in its node's main group meets every part of the node, in blocks."""
+        placed = large.select(
+            "node", "print", (F.col("known") != F.col("main")).alias("is_off"), F.ceil(F.col("count") / LEAF).alias("in_all"), F.ceil(F.col("off") / LEAF).alias("blocks"))
+        others = placed.select("node", "print", F.pmod(F.xxhash64("print", F.lit(SEED + 1)), "in_all").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        off = placed.where("is_off").withColumn("block", F.pmod(F.xxhash64("print", F.lit(SEED + 2)), "blocks"))
+        those = off.select("node", "print", F.explode(F.sequence(F.lit(0).cast("long"), F.col("in_all") - 1)).alias("at"), "block")
+        return others.union(those).select(F.xxhash64("node", "at", "block").alias("grp"), "print")
 
     # --- comparison ------------------------------------------------------------------------
 
     def pruned(self, groups: DataFrame) -> DataFrame:
         """(grp, print) of groups that likely pairs connect; of groups with equal members one."""
-        groups = saved(groups, "groups", tidy=False)
+        groups = saved(groups.distinct(), "groups", tidy=False)
         count = max(partitions(self.spark), groups.count() // ROWS)
         rows = groups.join(self.sets.select("print", "size", "sketch"), "print").join(self.labelled(), "print")
 
@@ -241,12 +278,12 @@ class Join:
             sizes = table.column("size").to_numpy()
             prints = table.column("print").to_pylist()
             numbers: dict[bytes, int] = {}
-            parts = np.array([numbers.setdefault(p, len(numbers)) for p in table.column("part").to_pylist()])
+            parts, known = (np.array([numbers.setdefault(p, len(numbers)) for p in table.column(c).to_pylist()]) for c in ("part", "known"))
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, RANGES)
             cuts = np.flatnonzero(np.diff(grp)) + 1
             names, found = [], []
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(grp)]):
-                for n, group in enumerate(likely(sizes[a:b], sketches[a:b], parts[a:b])):
+                for n, group in enumerate(likely(sizes[a:b], sketches[a:b], parts[a:b], known[a:b])):
                     name = xxhash.xxh64_intdigest(int(grp[a]).to_bytes(8, "little", signed=True), seed=n) >> 1
                     names += [name] * len(group)
                     found += [prints[a + i] for i in group]
@@ -292,30 +329,33 @@ class Join:
             return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
         texts = self.texts.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
-        sent = texts.join(wanted.drop("size"), ["id", "row"]).dropDuplicates(["id", "row"]).select("text", "print", "groups")
+        sent = texts.join(wanted.where("size > 0").drop("size"), ["id", "row"]).dropDuplicates(["id", "row"]).select("text", "print", "groups")
         sent = sent.mapInArrow(spread, "dest long, grp long, print binary, blob binary")
         return sent.groupBy("dest").applyInArrow(verify, "a binary, b binary").distinct()
 
     # --- passes ------------------------------------------------------------------------------
 
     def run(self, trees: tuple[int, ...]) -> None:
-        roots = self.sets.select(F.explode(F.array(*(F.lit(t) for t in trees))).alias("tree"), F.col("tree").cast("long").alias("node"), "print")
-        members = saved(self.children(roots, 0), "members")
-        self.add(self.compared(self.dealt(self.counted(members))))
-        groups = []
-        for level in range(1, LEVELS):
-            large = saved(self.counted(members).where(F.col("count") > LEAF).select("tree", "node", "print"), "large", tidy=False)
+        """One pass: the top nodes of ``trees``, then what is left of the large ones, level by level."""
+        roots = self.sets.select(F.explode(F.array(*(F.lit(t) for t in trees))).alias("tree"), F.col("tree").cast("long").alias("node"), "print", "picks")
+        top = self.counted(saved(self.children(roots, 0), "members"))
+        self.add(self.compared(self.small(top).union(self.apart(self.few(top))).union(self.parts(self.many(top)))))
+        self.settle(self.few(top))
+        groups, large, now_settled = None, self.many(top).select("tree", "node", "print"), []
+        for level in range(1, LEVELS + 1):
             if large.isEmpty():
                 break
-            members = saved(self.children(large, level), "members")
-            groups.append(self.counted(members).where(F.col("count") <= LEAF).select(F.col("node").alias("grp"), "print"))
-        else:
-            groups.append(self.apart(self.counted(members).where(F.col("count") > LEAF)))
-        if groups:
-            every = groups[0]
-            for more in groups[1:]:
-                every = every.union(more)
-            self.add(self.compared(every.distinct()))
+            now = self.counted(large)
+            done = self.few(now) if level < LEVELS else now.where(F.col("count") > LEAF)
+            now_settled.append(done)
+            new = self.apart(done) if level == 1 else self.apart(done).union(self.small(now))
+            groups = new if groups is None else groups.union(new)
+            if level < LEVELS:
+                large = saved(self.children(self.many(now).select("tree", "node", "print"), level), "members", tidy=False)
+        if groups is not None:
+            self.add(self.compared(groups))
+            for done in now_settled:
+                self.settle(done)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
