@@ -168,3 +168,28 @@ def test_rounding_is_that_of_python(spark):
     )
     for r in df.collect():
         assert r.r4 == round(r.v, 4) and r.r1 == round(r.v, 1), r
+
+
+def plain_fold(scores, alpha):
+    out = []
+    for raw in scores:
+        out.append(raw if not out else alpha * raw + (1.0 - alpha) * out[-1])
+    return out
+
+
+@pytest.mark.parametrize("alpha", [rot.ALPHA, 0.05, 0.9, 1.0])
+def test_smoothing_has_the_bits_of_the_fold(spark, alpha):
+    """Long sessions in hundredths, where the last bit decides thresholds; a null session; ids that start late."""
+    r = random.Random(8)
+    cases = {"long": (0, [r.randrange(101) / 100 for _ in range(100_000)]), "steps": (0, [0.2] * 700 + [0.6] * 5000 + [0.0] * 4000 + [1.0] * 900), "zeros": (0, [0.0] * 3000),
+             None: (690, [r.random() for _ in range(3000)]), "one": (5, [0.7]), "wide": (3, [r.choice([-1e8, 1e8, 0.1]) for _ in range(4000)])}
+    rows = [(s, first + i, x, 0.0, 0.0) for s, (first, xs) in cases.items() for i, x in enumerate(xs)]
+    ticks = spark.createDataFrame(rows, "session_id string, snapshot_id long, raw_score double, constraint double, thrash double").repartition(5)
+    got = rot.smooth(ticks, alpha)
+    assert sorted(got.columns) == sorted([*ticks.columns, "smoothed_score", "state"])
+    found = {}
+    for x in got.collect():
+        found.setdefault(x.session_id, []).append((x.snapshot_id, x.raw_score, x.smoothed_score))
+    assert found.keys() == cases.keys()
+    for s, (_, xs) in cases.items():
+        assert [x[1:] for x in sorted(found[s])] == list(zip(xs, plain_fold(xs, alpha)))

@@ -9,7 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tracewarden.functions import classify as c, fixed_values as fv, status, text
 from tracewarden.operators.buffer import SESSION
@@ -22,6 +23,8 @@ MODULES = list(WEIGHTS)
 # Fixed values: (smoothed score, ticks in a row) needed for the states 3, 2 and 1.
 STATE_RULES = [(3, 0.60, 2), (2, 0.40, 3), (1, 0.20, 2)]
 CONSTRAINT_ALARM = THRASH_ALARM = 0.7
+#: Raw scores are smaller than this, either way.
+BOUND = 1e9
 ALPHA = 0.4
 
 
@@ -454,14 +457,32 @@ def rot_report(
     )
 
 
+def _folder(alpha: float, columns: list[str]):
+    """Smoothing of sorted rows: a new (session_id, run) begins with its ``start``, or with its first score if null."""
+
+    def fold(batches):
+        key = smoothed = None
+        for batch in batches:
+            out = []
+            for *now, start, raw in zip(*(batch.column(c).to_pylist() for c in ("session_id", "run", "start", "raw_score"))):
+                if now != key:
+                    key, smoothed = now, start
+                smoothed = raw if smoothed is None else alpha * raw + (1.0 - alpha) * smoothed
+                out.append(smoothed)
+            arrays = [batch.column(c) for c in columns] + [pa.array(out, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "smoothed_score"])
+
+    return fold
+
+
 def smooth(ticks: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Exponential smoothing and states over ``ticks(session_id, snapshot_id, raw_score, constraint, thrash)``.
 
-    Snapshot ids are consecutive. A session is smoothed in stretches, so no task
-    needs all of it. Inside a stretch the recursion is a running sum of scores
-    weighted by powers of ``1 / (1 - alpha)``, as many as a double holds; what a
-    stretch takes over from earlier ones follows from their sums. Nothing is cut:
-    weights older than two stretches are below the smallest double.
+    Snapshot ids are consecutive, scores lie between -BOUND and BOUND. The result has the bits of the plain fold
+    ``alpha * raw + (1 - alpha) * smoothed``, yet long sessions are folded in stretches side by side. The start of a
+    stretch follows from the one before, folded from both bounds: a fold never changes the order of two start values, so
+    where both end in the same double, the true one, which lies between, does too. Where they do not (long runs of zeros,
+    which only shrink what came before), the stretch is folded after its predecessor, row by row.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
@@ -472,29 +493,22 @@ def smooth(ticks: DataFrame, alpha: float = ALPHA) -> DataFrame:
     if keep == 0:
         smoothed = placed.withColumn("smoothed_score", F.col("raw_score"))
     else:
-        def weight(power: Column) -> Column:
-            return F.pow(F.lit(keep), power)
-
-        # One row for each stretch: its sum at its end, its first tick.
-        ends = placed.groupBy(F.col("session_id").alias("of"), F.col("stretch").alias("at")).agg(
-            F.sum(F.lit(alpha) * F.col("raw_score") * weight(-F.col("off"))).alias("sum"),
-            F.min(F.struct("snapshot_id", "raw_score")).alias("head"),
-        )
-        over = Window.partitionBy("of").orderBy("at")
-        start = F.min("head").over(Window.partitionBy("of"))
-        local = F.col("sum") * weight(F.lit(stretch - 1))
-        whole = weight(F.lit(stretch))
-        carried = F.coalesce(F.lag(local, 1).over(over), F.lit(0.0)) + whole * F.coalesce(F.lag(local, 2).over(over), F.lit(0.0))
-        brought = ends.select("of", "at", carried.alias("carried"), start.alias("start"))
+        def of(start: float) -> Column:
+            return F.aggregate("before", F.lit(start), lambda before, row: F.lit(alpha) * row["raw_score"] + F.lit(keep) * before)
+
+        # One row for each stretch, beside the scores of the stretch before it.
+        twice = placed.select("session_id", "snapshot_id", "raw_score", F.posexplode(F.array("stretch", F.col("stretch") + 1)).alias("later", "at"))
+        grouped = twice.groupBy(F.col("session_id").alias("of"), "at").agg(
+            F.max(F.col("later") == 0).alias("own"), F.sort_array(F.collect_list(F.when(F.col("later") == 1, F.struct("snapshot_id", "raw_score")))).alias("before"))
+        ends = grouped.where("own").select("of", "at", (F.size("before") == 0).alias("first"), of(-BOUND).alias("low"), of(BOUND).alias("high"))
+        # Stretches with a known start, and those that are folded after them.
+        known = F.when(F.col("first") | (F.col("low") == F.col("high")), F.struct("at", F.when(~F.col("first"), F.col("low")).alias("start")))
+        since = F.last(known, ignorenulls=True).over(Window.partitionBy("of").orderBy("at"))
+        heads = ends.select("of", "at", since.alias("since")).select("of", "at", F.col("since.at").alias("run"), F.col("since.start").alias("start"))
         same = F.col("session_id").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at"))
-        running = F.sum(F.lit(alpha) * F.col("raw_score") * weight(-F.col("off"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        # The first tick counts whole, not by ``alpha``.
-        first = weight(F.col("snapshot_id") - F.col("start.snapshot_id") + 1) * F.col("start.raw_score")
-        smoothed = (
-            placed.join(brought, same)
-            .withColumn("smoothed_score", running * weight(F.col("off")) + F.col("carried") * weight(F.col("off") + 1) + first)
-            .drop("of", "at", "carried", "start")
-        )
+        dealt = placed.join(heads, same).drop("of", "at").repartition("session_id", "run").sortWithinPartitions("session_id", "run", "snapshot_id")
+        kinds = T.StructType([*placed.schema.fields, T.StructField("smoothed_score", T.DoubleType())])
+        smoothed = dealt.mapInArrow(_folder(alpha, placed.columns), kinds)
 
     # A stretch's first states look back into the one before.
     back = max(needed for _, _, needed in STATE_RULES) - 1
