@@ -1236,6 +1236,33 @@ ORACLES["stream_reports"] = (
     + "select session_id, detector_score, efficiency_score, overall_score from m"
 )
 
+_LINES = "source_file, seq, tool_name, tool_type, success, file_path, command, error_message, outgoing_data"
+ORACLES["stream_dialects"] = " union all ".join(
+    f"select concat('{name}/', source_file) as source_file, {_LINES.split(', ', 1)[1]} from ({ORACLES[query]})"
+    for name, query in (("s", "parse_structured"), ("r", "parse_role"), ("f", "parse_flat"))
+)
+# Known skills grow from tick to tick: the first of the last ten actions' skills that is not known is new.
+ORACLES["stream_skill_warnings"] = f"""with recursive {EVENTS},
+x as (select *, 5 * event_id // (select max(event_id) + 1 from events) as step from a),
+w as (
+  select t, session_id, skill_name, row_number() over (partition by t, session_id order by ts desc, event_id desc) as rd
+  from (select unnest(range(5)) as t) join x on step <= t
+),
+s as (
+  select t, session_id, list(skill_name order by rd desc) filter (skill_name is not null) as skills
+  from w semi join (select distinct session_id, step as t from x) using (session_id, t) where rd <= 10 group by all
+),
+k as (
+  select distinct session_id, cast(-1 as bigint) as t, cast([] as varchar[]) as known, cast(null as varchar) as fresh from x
+  union all
+  select session_id, t, case when f is null then known else list_append(known, f) end, f
+  from (
+    select k.session_id, k.t + 1 as t, k.known, list_filter(coalesce(s.skills, []), lambda e: not list_contains(k.known, e))[1] as f
+    from k left join s on s.session_id = k.session_id and s.t = k.t + 1 where k.t < 4
+  )
+)
+select session_id, t as tick, fresh as skill from k where fresh is not null"""
+
 
 def _exact_rounding(sql: str) -> str:
     """``half_even(x, d)`` -> SQL rounding the exact binary value (by printing it)."""

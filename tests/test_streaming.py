@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewarden.operators import buffer as b, rot
 from tracewarden.plans import reports
 from tracewarden.sources import jsonl, tables
-from tracewarden.streaming import watch as w
+from tracewarden.streaming import dialects, watch as w
 
 DATA = "/root/testdata/sf0.001"
 
@@ -54,7 +54,7 @@ def event_actions(spark):
 def test_watch_equals_batch(spark, folder):
     actions = event_actions(spark).withColumn("session_id", F.when(F.col("session_id") != "u3", F.col("session_id")))
     stream = stream_of(spark, actions, folder + "/in", 4)
-    run(w.watch(stream, folder + "/reports", folder + "/checkpoint", max_size=40))
+    run(w.watch(stream, folder + "/reports", folder + "/checkpoint", max_size=40, remember_skills=False))
     ticks = spark.read.parquet(folder + "/reports")
     assert ticks.select("tick").distinct().count() == 4
     columns = ["overall_score", "detector_score", "efficiency_score", "raw_score"]
@@ -146,3 +146,56 @@ def test_each_action_survives_errors(spark, folder):
     stream = stream_of(spark, actions, folder + "/in", 1)
     run(w.each_action(stream, callback, folder + "/checkpoint"))
     assert len(os.listdir(marker)) == actions.count()
+
+
+def test_dialects_wait_for_missing_segments(spark, folder):
+    """Segments land late; metadata decides nothing; beyond ``hold`` lines what is there decides."""
+    skip, role, flat = '{"type":"summary"}', '{"role":"user","content":"hi"}', '{"tool":"read","file":"f"}'
+    lands = [
+        [("late", 1, [flat, flat]), ("full", 1, [flat] * 4), ("plain", 0, [skip, "no json", flat, role])],
+        [("late", 2, [role]), ("plain", 1, [skip, role])],
+        [("late", 0, [skip, role, skip]), ("full", 0, [role])],
+        [("late", 3, [flat]), ("full", 2, [role])],
+    ]
+    schema = "log string, segment long, seq long, value string"
+    got = []
+    for land_now in lands:
+        rows = [(log, segment, i, line) for log, segment, lines in land_now for i, line in enumerate(lines)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder + "/in")
+        stream = spark.readStream.schema(schema).parquet(folder + "/in")
+        run(dialects.locked_lines(stream, hold=3).writeStream.format("parquet").option("path", folder + "/out")
+            .option("checkpointLocation", folder + "/checkpoint"))
+        got.append(sorted((r.log, r.segment, r.seq, r.dialect) for r in spark.read.parquet(folder + "/out").collect()))
+    full = [("full", 1, i, "unknown") for i in range(4)]
+    plain = [("plain", 0, 2, "unknown"), ("plain", 0, 3, "unknown")]
+    assert got[0] == full + plain
+    assert got[1] == full + plain + [("plain", 1, 0, "unknown"), ("plain", 1, 1, "unknown")]
+    late = [("late", 0, 1, "role"), ("late", 0, 2, "role"), ("late", 1, 0, "role"), ("late", 1, 1, "role"), ("late", 2, 0, "role")]
+    assert [r for r in got[2] if r[0] == "late"] == late and [r for r in got[2] if r[0] == "full"] == full
+    assert [r for r in got[3] if r[0] == "late"] == [*late, ("late", 3, 0, "role")]
+    assert [r for r in got[3] if r[0] == "full"] == [*full, ("full", 2, 0, "unknown")]
+
+
+def test_logs_are_named_by_their_segments(spark, folder):
+    os.makedirs(folder + "/in")
+    for i, lines in enumerate(['{"type":"summary"}\n', '{"sessionId":"s","tool":"read","file":"a"}\n', '{"sessionId":"s","tool":"read","file":"b"}\n']):
+        with open(f"{folder}/in/one-{i}.jsonl", "w") as f:
+            f.write(lines)
+        stream = dialects.log_actions(dialects.numbered_lines(spark, folder + "/in"))
+        run(stream.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/checkpoint"))
+    rows = spark.read.parquet(folder + "/out").orderBy("seq").collect()
+    assert [r.file_path for r in rows] == ["a", "b"] and len({r.source_file for r in rows}) == 1
+
+
+def test_a_skill_warns_once(spark, folder):
+    """One skill a tick, in order of use; known ones never again."""
+    used = [["a", "b"], ["b"], ["a", "c"], ["c", "b"], []]
+    rows = [(t, "s", 100 * t + i, skill) for t, skills in enumerate(used) for i, skill in enumerate([*skills, None])]
+    actions = event_actions(spark)
+    blank = actions.where("session_id = 'u1'").limit(1).drop("session_id", "seq", "skill_name")
+    every = spark.createDataFrame(rows, "t int, session_id string, seq bigint, skill_name string").crossJoin(blank).select("t", *actions.columns)
+    for t in range(len(used)):
+        every.where(f"t = {t}").drop("t").coalesce(1).write.mode("append").parquet(folder + "/in")
+        run(w.watch(spark.readStream.schema(actions.schema).parquet(folder + "/in"), folder + "/reports", folder + "/checkpoint"))
+    found = spark.read.parquet(folder + "/reports").select("tick", F.explode("warnings").alias("x")).where("x.signal = 'new_skill'")
+    assert sorted((r.tick, r.x.details["skill"]) for r in found.collect()) == [(0, "a"), (1, "b"), (2, "c")]

@@ -49,6 +49,10 @@ class Registry:
     def get(self, name: str) -> Detector | FrameDetector | None:
         return next((d for d in self.detectors if d.name == name), None)
 
+    def position(self, name: str) -> int | None:
+        """Place of a built-in detector in ``results``."""
+        return next((i for i, d in enumerate(self._built_in()) if d.name == name), None)
+
     def subset(self, security: bool) -> Registry:
         return Registry([d for d in self.detectors if d.is_security == security])
 

@@ -406,10 +406,15 @@ def new_skill(name: str = "new_skill", window: int = 10) -> Detector:
     return Detector(
         name, "supply_chain", "New skill started executing",
         aggs={f"{name}__skill": first_hit(within(window) & A.skill.isNotNull(), A.skill)},
-        warning=F.when(
-            skill.isNotNull(),
-            warn("supply_chain", "low", "new_skill", F.concat(F.lit("New skill started: "), skill), skill=skill),
-        ),
+        warning=new_skill_warning(skill),
+    )
+
+
+def new_skill_warning(skill: Column) -> Column:
+    """Null where ``skill`` is."""
+    return F.when(
+        skill.isNotNull(),
+        warn("supply_chain", "low", "new_skill", F.concat(F.lit("New skill started: "), skill), skill=skill),
     )
 
 

@@ -14,7 +14,7 @@ from tracewarden.operators.lineage import shared_folder
 from tracewarden.operators.registry import create_registry
 from tracewarden.plans import reports
 from tracewarden.sources import jsonl, tables
-from tracewarden.streaming import watch
+from tracewarden.streaming import dialects, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -764,3 +764,55 @@ def stream_reports(spark, folder):
         F.max_by(F.struct("detector_score", "efficiency_score", "overall_score"), "tick").alias("r")
     )
     return plain(latest.select("session_id", "r.*"))
+
+
+def _landed(df: DataFrame, steps: list, start: Callable[[DataFrame, str], None]) -> str:
+    """Run a stream over rows of ``df`` that land in the order of ``steps`` (values of its column ``step``), a micro-batch
+    each; ``start(stream, place)`` runs it to the end of what is there. Gives the folder that holds what it wrote."""
+    spark = df.sparkSession
+    place = shared_folder(spark)
+    for step in steps:
+        df.where(F.col("step") == step).drop("step").write.mode("append").parquet(f"{place}/in")
+        start(spark.readStream.schema(df.drop("step").schema).parquet(f"{place}/in"), place)
+    return place
+
+
+@query
+def stream_dialects(spark, folder):
+    """Logs in each dialect cut into six segments, two of metadata first, that land one by one and not in order."""
+    lines = None
+    for name, make in (("s", structured_lines), ("r", role_lines), ("f", flat_lines)):
+        found = make(spark, folder).select(F.concat_ws("/", F.lit(name), "source_file").alias("log"), "seq", "value")
+        lines = found if lines is None else lines.unionByName(found)
+    last = tables.table(spark, folder, "events").agg(F.max("event_id")).first()[0]
+    cut = lines.withColumn("segment", F.expr(f"2 + 4 * seq div {last + 1}"))
+    # Every log has all its segments, events or not: each starts with metadata.
+    heads = lines.groupBy("log").agg(F.lit(0).cast("long").alias("seq"), F.lit('{"type":"summary"}').alias("value"))
+    heads = heads.withColumn("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    rows = cut.withColumn("seq", F.col("seq") + 1).unionByName(heads).withColumn("step", F.col("segment"))
+
+    def start(stream, place):
+        writer = dialects.log_actions(stream).writeStream.format("parquet").option("path", f"{place}/out")
+        writer.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+
+    place = _landed(rows, [0, 2, 1, 3, 5, 4], start)
+    found = spark.read.parquet(f"{place}/out")
+    # Metadata behind the decisive line is parsed like any other line; it stands at place 0 of its segment.
+    at = F.col("seq").bitwiseAND(F.lit((1 << dialects.PLACE) - 1))
+    return plain(found.withColumn("seq", at - 1).where("seq >= 0").select(*_PARSED))
+
+
+@query
+def stream_skill_warnings(spark, folder):
+    """Warnings about new skills tick by tick, events landing in five steps: a session is warned of a skill once."""
+    last = tables.table(spark, folder, "events").agg(F.max("event_id")).first()[0]
+    actions = events(spark, folder).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    rows = actions.withColumn("step", F.expr(f"5 * sub div {last + 1}"))
+
+    def start(stream, place):
+        writer = watch.watch(stream, f"{place}/reports", f"{place}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    place = _landed(rows, [0, 1, 2, 3, 4], start)
+    found = spark.read.parquet(f"{place}/reports").select("session_id", F.col("tick").cast("long").alias("tick"), F.explode("warnings").alias("w"))
+    return found.where("w.signal = 'new_skill'").select("session_id", "tick", F.col("w.details")["skill"].alias("skill"))
