@@ -5,11 +5,16 @@ the set of trie nodes with the fewest edits that reach each. Almost every word l
 so misspelled terms cost no more than a search for exact ones. Each hit is weighed by its window: hits inside
 quotation marks or beside a word of reporting count apart from direct ones, and close hits strengthen one another. A
 logistic regression, fitted on labelled rows, turns a document's counts into a score.
+
+The lexicon has two parts: a list of our own, and terms learned from the labelled rows that are not held out, in whatever
+language: words that toxic texts hold much more often than others. Weights of learned terms are fitted on rows that had
+no part in learning them: FOLDS parts, each described by terms of the others.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,13 +33,15 @@ LOOKALIKE = str.maketrans("01345789@$!*", "oieastbgasi*")
 WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")
 #: Code points around a hit that are read for quotation; words within which hits strengthen one another.
 AROUND, NEAR = 60, 20
-FEATURES = ["direct", "any", "misspelled", "loose", "quoted", "dense", "close"]
+FEATURES = ["direct", "any", "misspelled", "loose", "quoted", "dense", "close", "learned", "learned_direct", "learned_near"]
+#: Texts that must hold a learned term at least, and how much likelier than others a toxic text is to hold it.
+LEAST, LIKELIER, FOLDS = 4, 20.0, 5
 #: Labelled rows the model is fitted on, at most; of more, those whose hash is smallest.
 FITTED = 20_000
 THRESHOLD = 0.7
 #: Used where the labels do not hold both classes, and what weights are drawn to where labels say little: abuse once,
 #: in whatever spelling, is likely toxic.
-PRIOR = [-3.0, 1.0, 4.5, 4.5, 0.0, 0.0, 0.0, 0.0]
+PRIOR = [-3.0, 1.0, 4.5, 4.5, 0.0, 0.0, 0.0, 0.0, 4.0, 0.5, 0.0]
 
 
 def edits(term: str) -> int:
@@ -111,12 +118,17 @@ class Automaton:
 class Scorer:
     """Features of texts; remembers words of either kind."""
 
-    def __init__(self, lexicon: list[str] = LEXICON):
-        self.automaton, self.known = Automaton(lexicon), {}
+    def __init__(self, lexicon: list[str] = LEXICON, learned: list[str] = ()):
+        self.automata = [Automaton(lexicon), Automaton(learned)]
+        self.known: dict[str, tuple] = {}
 
-    def _match(self, word: str) -> tuple[str, int] | None:
+    def _match(self, word: str) -> tuple[str, int, int] | None:
+        """The nearest term, its edits, and which list it is from."""
         plain = word.translate(LOOKALIKE)
-        return self.automaton.match(word) or (plain != word and self.automaton.match(plain)) or None
+        for origin, automaton in enumerate(self.automata):
+            if hit := automaton.match(word) or plain != word and automaton.match(plain):
+                return *hit, origin
+        return None
 
     def features(self, text: str | None) -> list[float]:
         if not text:
@@ -133,14 +145,17 @@ class Scorer:
             known.clear()
         if not hits:
             return [0.0] * len(FEATURES)
-        exact = misspelled = loose = quoted = close = 0
+        exact = misspelled = loose = quoted = close = learned = near = 0
         last = None
         for n, found in enumerate(WORD.finditer(lowered)):
             hit = hits.get(found[0])
             if not hit:
                 continue
             if is_quoted(lowered, found.start(), found.end()):
-                quoted += 1
+                quoted += not hit[2]
+                continue
+            if hit[2]:
+                learned, near = learned + (not hit[1]), near + bool(hit[1])
                 continue
             if hit[1] and found[0][0] != hit[0][0]:
                 loose += 1
@@ -149,7 +164,8 @@ class Scorer:
             close += last is not None and n - last <= NEAR
             last = n
         direct = exact + misspelled
-        return [float(np.log1p(exact)), float(exact > 0), float(misspelled > 0), float(np.log1p(loose)), float(np.log1p(quoted)), min(1.0, 20.0 * direct / len(words)), float(np.log1p(close))]
+        counts = [np.log1p(exact), exact > 0, misspelled > 0, np.log1p(loose), np.log1p(quoted), min(1.0, 20.0 * direct / len(words)), np.log1p(close)]
+        return [float(x) for x in (*counts, learned > 0, np.log1p(learned), np.log1p(near))]
 
 
 def is_quoted(text: str, start: int, end: int) -> bool:
@@ -161,12 +177,13 @@ def is_quoted(text: str, start: int, end: int) -> bool:
     return any(w in REPORTING for w in WORD.findall(before)[-2:])
 
 
-def features(text: Column) -> Column:
+def features(text: Column, learned: list[str] = ()) -> Column:
     """The counts of FEATURES as an array of doubles; null and empty texts have zeros."""
+    terms = list(learned)
 
     @F.pandas_udf("array<double>")
     def run(parts: "pd.Series") -> "pd.Series":
-        scorer = run.scorer = getattr(run, "scorer", None) or Scorer()
+        scorer = run.scorer = getattr(run, "scorer", None) or Scorer(LEXICON, terms)
         return pd.Series([scorer.features(t) for t in parts])
 
     return run(text.cast("string"))
@@ -176,19 +193,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(found: DataFrame, labels: DataFrame, rows: int = FITTED) -> list[float]:
-    """Weights, the constant first, from rows of ``found`` (doc_id, features) that have a label and are not held out.
-
-    Takes at most ``rows`` of them, those whose hashed doc_id is smallest. Missing labels are left out; of several
-    labels of one document the largest counts.
-    """
+def labelled(df: DataFrame, labels: DataFrame, rows: int = FITTED) -> DataFrame:
+    """doc_id, text, toxic of at most ``rows`` documents that have a label and are not held out: those whose hashed doc_id
+    is smallest. Missing labels are left out; of several labels of one document the largest counts, of several texts the
+    least."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
-    marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = smallest(found.join(marks, "doc_id"), F.xxhash64("doc_id"), rows).select("features", "toxic").collect()
-    y = np.array([float(r.toxic > 0) for r in sample])
+    marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = smallest(texts.select("doc_id").distinct().join(marks, "doc_id"), F.xxhash64("doc_id"), rows).select("doc_id", "toxic")
+    # At most ``rows`` pairs of numbers are broadcast.
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return saved(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))), "labelled")
+
+
+def learned(sample: DataFrame, least: int = LEAST) -> list[str]:
+    """Words that at least ``least`` different toxic texts hold, and toxic texts LIKELIER times as often as others."""
+    texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    total = texts.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    if not total.t:
+        return []
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W_]+(?:[*@$!][^\W_]+)*"), F.lit(0)))).alias("word")
+    each = texts.select("toxic", word).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where((F.col("t") >= least) & (F.length("word") > 2))
+    likelier = (F.col("t") + 0.5) / (total.t + 1) >= LIKELIER * (F.col("n") - F.col("t") + 0.5) / (total.n - total.t + 1)
+    return [r.word for r in each.where(likelier).orderBy("word").collect()]
+
+
+def fit(sample: DataFrame) -> tuple[list[str], list[float]]:
+    """Learned terms and weights, the constant first, from labelled()."""
+    terms = learned(sample)
+    parts = []
+    for fold in range(FOLDS):
+        others = learned(sample.where(F.col("fold") != fold), LEAST - 1)
+        parts.append(sample.where(F.col("fold") == fold).select("doc_id", features(F.col("text"), others).alias("features"), "toxic"))
+    found = reduce(DataFrame.union, parts).orderBy("doc_id").collect()
+    y = np.array([float(r.toxic) for r in found])
     if len(set(y.tolist())) < 2:
-        return PRIOR
-    x = np.column_stack([np.ones(len(y)), np.array([r.features for r in sample])])
+        return terms, PRIOR
+    x = np.column_stack([np.ones(len(y)), np.array([r.features for r in found])])
     prior, ridge = np.array(PRIOR), np.diag([1e-6] + [1.0] * len(FEATURES))
     w = np.zeros(len(prior))
     for _ in range(50):
@@ -197,7 +238,7 @@ def fit(found: DataFrame, labels: DataFrame, rows: int = FITTED) -> list[float]:
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w.tolist()
+    return terms, w.tolist()
 
 
 def score(counts: Column, weights: list[float]) -> Column:
@@ -210,17 +251,17 @@ def score(counts: Column, weights: list[float]) -> Column:
 def scored(df: DataFrame, labels: DataFrame, rows: int = FITTED, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted.
 
-    The text alone makes the score; null and empty texts get that of no hit. A missing doc_id has no label and is not
-    held out. An empty table gives no rows; without labels of both classes fixed prior weights are used.
+    The text alone makes the score; null and empty texts get that of no hit. Repeated rows stay. A missing doc_id has no
+    label and is not held out. An empty table gives no rows; without labels of both classes fixed prior weights are used.
     """
-    found = saved(df.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text")).alias("features")), "features")
-    weights = fit(found, labels, rows)
+    terms, weights = fit(labelled(df, labels, rows))
+    counts = df.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text"), terms).alias("features"))
     value = score(F.col("features"), weights)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= threshold).cast("int").alias("predicted"))
+    return counts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(df: DataFrame, labels: DataFrame, rows: int = FITTED, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that are not predicted toxic, with all columns."""
-    found = saved(df.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text")).alias("features")), "features")
-    weights = fit(found, labels, rows)
-    return df.where(score(features(F.col("text")), weights) < threshold)
+    """The rows of ``df`` that are not predicted toxic, with all columns. Null and empty texts, repeated rows and those
+    without doc_id are judged as scored() does; an empty table gives no rows."""
+    terms, weights = fit(labelled(df, labels, rows))
+    return df.where(score(features(F.col("text"), terms), weights) < threshold)
