@@ -33,7 +33,7 @@ LOOKALIKE = str.maketrans("01345789@$!*", "oieastbgasi*")
 WORD = re.compile(r"[^\W_]+(?:[*@$!][^\W_]+)*")
 #: Code points around a hit that are read for quotation; words within which hits strengthen one another.
 AROUND, NEAR = 60, 20
-FEATURES = ["direct", "any", "misspelled", "loose", "quoted", "dense", "close", "learned", "learned_direct", "learned_near"]
+FEATURES = ["direct", "any", "misspelled", "loose", "quoted", "dense", "close", "learned", "learned_direct"]
 #: Texts that must hold a learned term at least, and how much likelier than others a toxic text is to hold it.
 LEAST, LIKELIER, FOLDS = 4, 20.0, 5
 #: Labelled rows the model is fitted on, at most; of more, those whose hash is smallest.
@@ -41,7 +41,7 @@ FITTED = 20_000
 THRESHOLD = 0.7
 #: Used where the labels do not hold both classes, and what weights are drawn to where labels say little: abuse once,
 #: in whatever spelling, is likely toxic.
-PRIOR = [-3.0, 1.0, 4.5, 4.5, 0.0, 0.0, 0.0, 0.0, 4.0, 0.5, 0.0]
+PRIOR = [-3.0, 1.0, 4.5, 4.5, 0.0, 0.0, 0.0, 0.0, 4.0, 0.5]
 
 
 def edits(term: str) -> int:
@@ -119,16 +119,16 @@ class Scorer:
     """Features of texts; remembers words of either kind."""
 
     def __init__(self, lexicon: list[str] = LEXICON, learned: list[str] = ()):
-        self.automata = [Automaton(lexicon), Automaton(learned)]
+        self.automaton, self.learned = Automaton(lexicon), frozenset(learned)
         self.known: dict[str, tuple] = {}
 
     def _match(self, word: str) -> tuple[str, int, int] | None:
         """The nearest term, its edits, and which list it is from."""
         plain = word.translate(LOOKALIKE)
-        for origin, automaton in enumerate(self.automata):
-            if hit := automaton.match(word) or plain != word and automaton.match(plain):
-                return *hit, origin
-        return None
+        if hit := self.automaton.match(word) or plain != word and self.automaton.match(plain):
+            return *hit, 0
+        # Near misses of learned terms tell nothing (the fit gave them a negative weight): only whole words count.
+        return next(((w, 0, 1) for w in (word, plain) if w in self.learned), None)
 
     def features(self, text: str | None) -> list[float]:
         if not text:
@@ -145,7 +145,7 @@ class Scorer:
             known.clear()
         if not hits:
             return [0.0] * len(FEATURES)
-        exact = misspelled = loose = quoted = close = learned = near = 0
+        exact = misspelled = loose = quoted = close = learned = 0
         last = None
         for n, found in enumerate(WORD.finditer(lowered)):
             hit = hits.get(found[0])
@@ -155,7 +155,7 @@ class Scorer:
                 quoted += not hit[2]
                 continue
             if hit[2]:
-                learned, near = learned + (not hit[1]), near + bool(hit[1])
+                learned += 1
                 continue
             if hit[1] and found[0][0] != hit[0][0]:
                 loose += 1
@@ -165,7 +165,7 @@ class Scorer:
             last = n
         direct = exact + misspelled
         counts = [np.log1p(exact), exact > 0, misspelled > 0, np.log1p(loose), np.log1p(quoted), min(1.0, 20.0 * direct / len(words)), np.log1p(close)]
-        return [float(x) for x in (*counts, learned > 0, np.log1p(learned), np.log1p(near))]
+        return [float(x) for x in (*counts, learned > 0, np.log1p(learned))]
 
 
 def is_quoted(text: str, start: int, end: int) -> bool:
