@@ -722,7 +722,16 @@ _warn(
     "secret_in_output", _first(10, _like("outgoing_data", fv.SECRETS)), "credential", _q("secret_in_output"),
     _q("critical"), _q("Secret found in output"), {"size": "length(outgoing_data)"}, "t", "r = 1",
 )
-del ORACLES["secret_in_output"]
+# The named query reads documents, whose last 500 are looked at.
+DOCUMENTS = """with a as (
+  select source as session_id, doc_id as seq, 'unknown' as tool_type, null as network_host, null as network_port,
+    nullif(text, '') as outgoing_data
+  from documents
+),""" + _buffer()
+_warn(
+    "secret_in_output", _first(500, _like("outgoing_data", fv.SECRETS)), "credential", _q("secret_in_output"),
+    _q("critical"), _q("Secret found in output"), {"size": "length(outgoing_data)"}, "t", "r = 1", prelude=DOCUMENTS,
+)
 
 # --- registry and scores --------------------------------------------------------------------------------------
 
@@ -756,6 +765,18 @@ def _warnings(names: list[str]) -> str:
 
 ALL_DETECTORS = HEALTH_DETECTORS + list(SECURITY_DETECTORS)
 ORACLES["check_health"] = _warnings(HEALTH_DETECTORS) + " select session_id, detector, category, severity, signal, message from w"
+ORACLES["check_security"] = _warnings(list(SECURITY_DETECTORS)) + " select session_id, detector, category, severity, signal, message from w"
+ORACLES["custom_detector"] = f"""
+with c as ({_warnings([d for d in SECURITY_DETECTORS if d != "new_skill"])} select session_id, detector, severity, message, sev, ord from w),
+e as ({EV} select session_id, count(distinct network_host) as hosts from b group by session_id),
+u as (
+  select * from c
+  union all
+  select session_id, 'many_hosts', case when hosts >= 3 then 'high' else 'medium' end, concat('Talks to ', hosts, ' hosts'),
+    case when hosts >= 3 then 1 else 2 end, 1000
+  from e where hosts >= 2
+)
+select session_id, row_number() over (partition by session_id order by sev, ord) as rank, detector, severity, message from u"""
 ORACLES["check_all"] = _warnings(ALL_DETECTORS) + """
 select session_id, row_number() over (partition by session_id order by sev, ord) as rank, detector, severity,
   cast(impact as bigint) as impact
@@ -1172,6 +1193,34 @@ union all select agent_key, snapshot_no, 'stopped' from stops
 union all select agent_key, snapshot_no + 2, 'reaped' from stops
 where (following is null or snapshot_no + 2 < following) and snapshot_no + 2 <= (select max(snapshot_no) from shots)"""
 
+ORACLES["agent_tree_history"] = """
+with recursive p as (
+  select t as snapshot_no, user_id + 1 as pid, (user_id + 1) % 4 <> 0 as agent,
+    case when t % 2 = 1 then case when user_id + 1 >= 2 then (user_id + 1) // 2 end
+      when user_id + 1 >= 3 then (user_id + 1) // 3 end as ppid
+  from (select distinct user_id from events), (select unnest(range(4)) as t) where (user_id + 1 + t) % 5 <> 0
+),
+walk as (
+  select p.snapshot_no, p.pid, q.pid as parent, q.agent as found from p join p q on q.snapshot_no = p.snapshot_no and q.pid = p.ppid
+  where p.agent
+  union all
+  select w.snapshot_no, w.pid, q.pid, q.agent
+  from walk w join p m on m.snapshot_no = w.snapshot_no and m.pid = w.parent
+    join p q on q.snapshot_no = m.snapshot_no and q.pid = m.ppid
+  where not w.found
+),
+pa as (
+  select p.snapshot_no, p.pid, w.parent from p left join walk w on w.snapshot_no = p.snapshot_no and w.pid = p.pid and w.found
+  where p.agent
+),
+tree as (
+  select snapshot_no, pid, parent, cast(0 as bigint) as depth, pid as team_id from pa where parent is null
+  union all
+  select pa.snapshot_no, pa.pid, pa.parent, depth + 1, team_id
+  from tree join pa on pa.snapshot_no = tree.snapshot_no and pa.parent = tree.pid
+)
+select snapshot_no, pid, parent as parent_agent_pid, depth, team_id from tree"""
+
 # --- log parsing ------------------------------------------------------------------------------------------------------------
 
 _TYPES = f"case tool_name when 'tool_result' then 'bash' else {tool_class('tool_name')} end as tool_type"
@@ -1242,6 +1291,11 @@ ORACLES["stream_dialects"] = " union all ".join(
     for name, query in (("s", "parse_structured"), ("r", "parse_role"), ("f", "parse_flat"))
 )
 # Known skills grow from tick to tick: the first of the last ten actions' skills that is not known is new.
+ORACLES["stream_presence"] = ORACLES["agent_presence"]
+ORACLES["scan_logs"] = f"""
+select session_id, count(*) as actions, count(*) filter (not success) as failures,
+  arg_min(coalesce(tool_name, ''), seq * 16 + sub) as first_tool, arg_max(coalesce(tool_name, ''), seq * 16 + sub) as last_tool
+from ({ORACLES["parse_structured"]}) group by session_id"""
 ORACLES["stream_skill_warnings"] = f"""with recursive {EVENTS},
 x as (select *, 5 * event_id // (select max(event_id) + 1 from events) as step from a),
 w as (

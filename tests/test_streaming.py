@@ -7,10 +7,10 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import buffer as b, rot
+from tracewarden.operators import agents as ag, buffer as b, rot
 from tracewarden.plans import reports
 from tracewarden.sources import jsonl, tables
-from tracewarden.streaming import dialects, watch as w
+from tracewarden.streaming import dialects, presence, watch as w
 
 DATA = "/root/testdata/sf0.001"
 
@@ -199,3 +199,23 @@ def test_a_skill_warns_once(spark, folder):
         run(w.watch(spark.readStream.schema(actions.schema).parquet(folder + "/in"), folder + "/reports", folder + "/checkpoint"))
     found = spark.read.parquet(folder + "/reports").select("tick", F.explode("warnings").alias("x")).where("x.signal = 'new_skill'")
     assert sorted((r.tick, r.x.details["skill"]) for r in found.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+@pytest.mark.parametrize("parts, late", [(1, 0), (6, 0), (4, 75)])
+def test_live_presence_equals_batch(spark, folder, parts, late):
+    """Snapshots every 25 s; with ``late``, sightings arrive up to three snapshots after newer ones."""
+    seen = {"a": [0, 1, 2, 5, 6, 20], "b": [0, 1, 9, 10], "c": [8, 9, 30], "d": [3, 7, 11, 12, 29], "e": list(range(31)), "f": [5, 9]}
+    rows = [(key, n, n + (n * 7 + ord(key)) % 3 if late else n) for key, numbers in seen.items() for n in numbers]
+    rows += rows[:5] + [(None, 4, 4)]
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n") * 25)
+    df = spark.createDataFrame(rows, "agent_key string, n long, arrives long").withColumn("taken_at", at)
+    stream = stream_of(spark, df, folder + "/in", parts, "arrives")
+    told = presence.live_presence(stream, 25.0, 60.0, f"{late} seconds")
+    run(told.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state"))
+    # The watermark stays behind by the lateness: later moments are not told yet.
+    last = 30 - late // 25
+    snapshots = spark.range(31).select(F.col("id").alias("snapshot_no"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 25).alias("taken_at"))
+    sightings = df.where("agent_key is not null").select("agent_key", F.col("n").alias("snapshot_no"))
+    expected = ag.presence(sightings, snapshots, 60.0).where(F.col("snapshot_no") <= last)
+    got = spark.read.parquet(folder + "/out")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.select("agent_key", "taken_at", "event").collect()))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import agents as ag, score
+from tracewarden.operators import agents as ag, history, score
 
 TEAMS = {
     # root score, sub-agent scores -> overall, signals
@@ -74,6 +74,43 @@ def test_orphans_become_roots(spark):
     assert rows == {1: (None, 0), 2: (None, 0), 3: (None, 0)}
 
 
+def test_history_equals_single_snapshots(spark, forest):
+    """Each snapshot has the hierarchy it has alone, though pids are the same in all of them."""
+    other = forest.where("pid <> 3").withColumn("ppid", F.when(F.col("pid") == 4, 5).otherwise(F.col("ppid")))
+    snapshots = {7: forest, 8: other}
+    both = None
+    for no, processes in snapshots.items():
+        numbered = processes.withColumn("snapshot_no", F.lit(no).cast("long"))
+        both = numbered if both is None else both.unionByName(numbered)
+    # Repeated rows and rows without pid or snapshot change nothing.
+    both = both.unionByName(both.where("pid = 4")).unionByName(both.where("pid = 1").withColumn("pid", F.lit(None).cast("long")))
+    both = both.unionByName(both.where("pid = 5").withColumn("snapshot_no", F.lit(None).cast("long")))
+    agents = both.where(ag.agent_type(F.col("args")).isNotNull())
+    for hops in (1, 50):
+        near = history.nearest_ancestors(agents, both, hops)
+        trees = {(r.snapshot_no, r.pid): (r.parent_agent_pid, r.depth, r.team_id) for r in history.agent_trees(near).collect()}
+        expected = {}
+        for no, processes in snapshots.items():
+            alone = ag.agent_tree(ag.nearest_ancestors(ag.find_agents(processes), processes, hops))
+            expected |= {(no, r.pid): (r.parent_agent_pid, r.depth, r.team_id) for r in alone.collect()}
+        assert trees == expected
+
+
+def test_history_of_deep_chains_and_circles(spark):
+    chain = spark.range(1, 20_001).select(
+        F.lit(0).cast("long").alias("snapshot_no"), F.col("id").alias("pid"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_agent_pid")
+    )
+    # In snapshot 1: a circle, agents below it, one below a missing parent, its child, one root with a child.
+    odd = [(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 4, 3), (1, 5, 4), (1, 6, 99), (1, 7, 6), (1, 8, None), (1, 9, 8), (1, 10, 10)]
+    rows = chain.unionByName(spark.createDataFrame(odd, chain.schema))
+    found = history.agent_trees(rows)
+    deep = found.where("snapshot_no = 0")
+    assert deep.where("depth <> pid - 1 or team_id <> 1").isEmpty() and deep.count() == 20_000
+    rest = {r.pid: (r.parent_agent_pid, r.depth, r.team_id) for r in found.where("snapshot_no = 1").collect()}
+    assert rest == {n: (None, 0, n) for n in range(1, 11)} | {9: (8, 1, 8)}
+    assert history.agent_trees(rows.limit(0)).isEmpty()
+
+
 def test_presence(spark):
     seen = {"a": [0, 1, 2, 5], "b": [0, 1, 9], "c": [8, 9]}
     sightings = spark.createDataFrame([(k, n) for k, v in seen.items() for n in v], "agent_key string, snapshot_no bigint")

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewarden.functions import classify as c, fixed_values as fv, status, text
 from tracewarden.model import CATEGORIES
-from tracewarden.operators import agents as ag, buffer as b, health as h, rot, score, security as x, turns as t
+from tracewarden.operators import agents as ag, buffer as b, health as h, history, rot, score, security as x, turns as t
 from tracewarden.operators.detector import Detector, detect
 from tracewarden.operators.lineage import shared_folder
-from tracewarden.operators.registry import create_registry
+from tracewarden.operators.registry import FrameDetector, create_registry
 from tracewarden.plans import reports
 from tracewarden.sources import jsonl, tables
-from tracewarden.streaming import dialects, watch
+from tracewarden.streaming import dialects, presence, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -276,6 +276,13 @@ for _name in DETECTORS:
     QUERIES[_name] = _detector_query(_name)
 
 
+@query
+def secret_in_output(spark, folder):
+    """Documents as outgoing text of their source: the first secret among a source's last actions."""
+    buffered = b.buffer(tables.document_actions(spark, folder))
+    return warnings_with(detect(buffered, [x.secret_in_output(window=500)]), ["size"])
+
+
 #: Characters that ``data_exfiltration`` takes for a large payload.
 LARGE = 10_000
 
@@ -323,6 +330,32 @@ def check_all(spark, folder):
     return plain(found.select("session_id", "rank", "detector", "severity", "impact"))
 
 
+@query
+def check_security(spark, folder):
+    found = create_registry("security").check(event_buffer(spark, folder))
+    return found.select("session_id", "detector", "category", "severity", "signal", "message")
+
+
+def _many_hosts(buffered: DataFrame, keys: list[str]) -> DataFrame:
+    hosts = buffered.groupBy(*keys).agg(F.count_distinct("network_host").alias("hosts")).where("hosts >= 2")
+    return hosts.select(
+        *keys, F.lit("network").alias("category"), F.when(F.col("hosts") >= 3, "high").otherwise("medium").alias("severity"),
+        F.lit("many_hosts").alias("signal"), F.concat(F.lit("Talks to "), F.col("hosts").cast("string"), F.lit(" hosts")).alias("message"),
+        F.lit("Check that all of them are needed").alias("suggestion"),
+        F.create_map(F.lit("hosts"), F.col("hosts").cast("string")).alias("details"),
+    )
+
+
+@query
+def custom_detector(spark, folder):
+    """The security detectors less one and with an own one, worst first per session."""
+    own = FrameDetector("many_hosts", "network", "Several hosts in one session", _many_hosts, is_security=True)
+    registry = create_registry("security", [own])
+    registry.remove("new_skill")
+    found = registry.check_all(event_buffer(spark, folder))
+    return plain(found.select("session_id", "rank", "detector", "severity", "message"))
+
+
 @query
 def security_audit(spark, folder):
     audit = create_registry("security").audit(event_buffer(spark, folder))
@@ -580,6 +613,14 @@ def agent_presence(spark, folder):
     return ag.presence(sightings, snapshots, reap_after_seconds=36 * 3600.0).select("agent_key", "snapshot_no", "event")
 
 
+@query
+def agent_tree_history(spark, folder):
+    """Hierarchies of four process snapshots at once."""
+    processes = tables.event_process_history(spark, folder)
+    found = processes.where(ag.agent_type(F.col("args")).isNotNull())
+    return history.agent_trees(history.nearest_ancestors(found, processes))
+
+
 # --- log parsing over lines derived from the events ---------------------------------------------------
 
 def structured_lines(spark, folder):
@@ -706,6 +747,21 @@ def session_filter(spark, folder):
     return plain(parsed.groupBy("session_id").agg(F.count("*").alias("actions")))
 
 
+@query
+def scan_logs(spark, folder):
+    """Events written as log files of many sessions each, found, read and put in order again."""
+    place = shared_folder(spark)
+    lines = structured_lines(spark, folder).withColumn("log", F.pmod(F.xxhash64("source_file"), F.lit(16)))
+    ordered = lines.repartition("log").sortWithinPartitions("log", "seq")
+    ordered.select("log", "value").write.partitionBy("log").text(place)
+    actions = jsonl.read_actions(spark, place, pattern="*.txt", per="session")
+    at, tool = F.struct("seq", "sub"), F.coalesce("tool_name", F.lit(""))
+    return actions.groupBy("session_id").agg(
+        F.count("*").alias("actions"), F.count_if(~F.col("success")).alias("failures"),
+        F.min_by(tool, at).alias("first_tool"), F.max_by(tool, at).alias("last_tool"),
+    )
+
+
 # --- streams, run to the end of the table and read back ---------------------------------------------------
 
 
@@ -816,3 +872,25 @@ def stream_skill_warnings(spark, folder):
     place = _landed(rows, [0, 1, 2, 3, 4], start)
     found = spark.read.parquet(f"{place}/reports").select("session_id", F.col("tick").cast("long").alias("tick"), F.explode("warnings").alias("w"))
     return found.where("w.signal = 'new_skill'").select("session_id", "tick", F.col("w.details")["skill"].alias("skill"))
+
+
+@query
+def stream_presence(spark, folder):
+    """Presence events of users in daily snapshots, landing in five steps, told as the watermark passes."""
+    sightings, _ = tables.event_sightings(spark, folder, hours=24)
+    low, high = sightings.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    rows = sightings.select(
+        "agent_key", F.timestamp_seconds(F.col("snapshot_no") * 86400).alias("taken_at"),
+        F.expr(f"5 * (snapshot_no - {low}) div {high - low + 1}").alias("step"),
+    )
+
+    def start(stream, place):
+        told = presence.live_presence(stream, every_seconds=86400.0, reap_after_seconds=36 * 3600.0)
+        writer = told.writeStream.format("parquet").option("path", f"{place}/out")
+        writer.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+
+    place = _landed(rows, [0, 1, 2, 3, 4], start)
+    found = spark.read.parquet(f"{place}/out")
+    return found.select(
+        F.col("agent_key").cast("long").alias("agent_key"), F.expr("unix_seconds(taken_at) div 86400").alias("snapshot_no"), "event"
+    )

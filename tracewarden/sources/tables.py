@@ -200,6 +200,15 @@ def event_processes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def event_process_history(spark: SparkSession, folder: str, snapshots: int = 4) -> DataFrame:
+    """The processes of :func:`event_processes` in numbered snapshots: a fifth is missing from each, and parents change."""
+    number = F.sequence(F.lit(0).cast("long"), F.lit(snapshots - 1).cast("long"))
+    alive = event_processes(spark, folder).withColumn("snapshot_no", F.explode(number))
+    odd = F.col("snapshot_no") % 2 == 1
+    parent = F.when(odd & (F.col("pid") >= 2), F.floor(F.col("pid") / 2)).when(~odd, F.col("ppid"))
+    return alive.where((F.col("pid") + F.col("snapshot_no")) % 5 != 0).withColumn("ppid", parent)
+
+
 def event_sightings(spark: SparkSession, folder: str, hours: int = 24):
     """Users as agents seen in snapshots taken every ``hours``."""
     e = table(spark, folder, "events")
