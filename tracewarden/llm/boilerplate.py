@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency; DataFrame operations only.
 
-A line is boilerplate of a host if the share of the host's pages that contain it exceeds a ratio. Such lines are
-dropped from all pages of the host.
+A line is boilerplate of a host if more than one of the host's pages contain it and their share exceeds a ratio. Such
+lines are dropped from all pages of the host.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm.shared import saved
 
-#: Share of a host's pages above which a line is boilerplate, and pages that must contain it at least.
-RATIO, PAGES = 0.1, 3
+#: Share of a host's pages above which a line is boilerplate; a line of a single page repeats nothing, whatever its share.
+RATIO, PAGES = 0.1, 2
 HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|td|th|table|nav|article|header|footer|title|section|aside|body|head|html)(?:[\s/][^>]*)?>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -30,7 +30,8 @@ def kept_lines(df: DataFrame, ratio: float = RATIO, pages: int = PAGES) -> DataF
     """One row for each page: page_id, host, n_lines, n_dropped, kept (array of lines).
 
     ``df`` has page_id, url and html. A line counts once for each page however often it stands there. Pages without a
-    host lose nothing, null html has no lines, repeated rows count as often as they occur. An empty table gives no rows.
+    host lose nothing, null html has no lines, repeated rows count as often as they occur: two equal pages that are all of
+    a host lose every line. A host of one page loses nothing. An empty table gives no rows; other columns are left aside.
     Lines are compared by their 64-bit hashes within a host.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
@@ -66,7 +67,7 @@ WITH shown AS (
     SELECT host, unnest(list_distinct(ls)) AS line FROM lines WHERE host <> ''
 ), common AS (
     SELECT h.host, line FROM (SELECT host, line, count(*) AS n FROM holds GROUP BY ALL) h
-    JOIN (SELECT host, count(*) AS total FROM lines GROUP BY ALL) t ON h.host = t.host WHERE n >= {PAGES} AND n > {RATIO} * total
+    JOIN (SELECT host, count(*) AS total FROM lines GROUP BY ALL) t ON h.host = t.host WHERE n >= 2 AND n > 0.1 * total
 ), dropped AS (SELECT host, list(line) AS d FROM common GROUP BY ALL
 ), kept AS (
     SELECT page_id, l.host, ls, list_filter(ls, lambda x: NOT coalesce(list_contains(d, x), false)) AS kept FROM lines l LEFT JOIN dropped USING (host)
