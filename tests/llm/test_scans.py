@@ -121,12 +121,45 @@ def test_secrets_rules_and_network(spark, odd, none):
     network = secrets.trained(found)
     new = [(secrets.window(t, t.index("=") + 3, t.index("=") + 43), True) for t in (f'text token = "{key(40, hexes)}" on' for _ in range(50))]
     new += [(secrets.window(t, 5, 21), False) for t in (f"card {key(16, '0123456789')} ok" for _ in range(50))]
-    x = np.frombuffer(b"".join(w for w, _ in new), np.uint8).reshape(-1, secrets.WIDTH).astype(int)
-    said = network.probability(x) >= network.threshold
+    said = network.probability([w for w, _ in new]) >= network.threshold
     assert (said == np.array([p for _, p in new])).mean() > 0.9
     assert secrets.scanned(odd).count() == odd.count() and secrets.scanned(none).count() == 0
 
 
+@pytest.fixture(scope="module")
+def network():
+    return secrets.trained([])
+
+
+def test_network_finds_makes_it_never_saw(spark, network):
+    for out in (("forge", "payment", "base64"), ("chat", "signed", "plain"), ("cloud", "package", "armour", "lower")):
+        other = secrets.trained([], {k: m for k, m in secrets.SECRETS.items() if k not in out})
+        found = [(other.probability(secrets.generated({make: secrets.SECRETS[make]}, True, 200, 77)) >= other.threshold).mean() for make in out]
+        assert np.mean(found) >= 0.9 and min(found) >= 0.8, (out, found)
+    said = network.probability(secrets.generated(secrets.ORDINARY, False, 200, 78)) >= network.threshold
+    assert said.mean() <= 0.05
+    # Candidates of the given texts that no rule covers: numbers, all of them.
+    found = secrets._found(spark.read.parquet(f"{FOLDER}/../sf0.1/documents.parquet"))
+    open_ = [bytes(x.window) for r in found.select("found").collect() for x in r.found if not x.covered]
+    assert len(open_) > 100 and not (network.probability(open_) >= network.threshold).any()
+
+
+def test_network_reads_whole_candidates(spark, network):
+    r = random.Random(12)
+    hidden = "".join(r.choice(secrets.LETTERS) for _ in range(60))
+    for lead in (70, 700, 70_000, 140_000):
+        text = "number " + "=" * lead + hidden + " end"
+        end = 7 + lead + 60
+        one, plain = (secrets.window(t, 7, end) for t in (text, "number " + "=" * (lead + 59) + "1 end"))
+        high, low = network.probability([one, plain])
+        assert high >= network.threshold > low
+        for stretch in (64, 1000, 65_536):
+            assert abs(network._long(one, stretch) - network._forward([one])[4][0]) < 1e-4
+    text = "number " + "=" * 70 + hidden + " end"
+    rows = spark.createDataFrame([(1, text), (2, "number " + "=" * 129 + "1"), (3, None)], "doc_id long, text string")
+    assert {x.doc_id: x.spans for x in secrets.scanned(rows).collect()} == {1: "network:7:137", 2: "", 3: ""}
+
+
 def test_lines_equal_their_sql(spark):
     page = "<html><body><nav><li>Home</li><li>About</li></nav><p>Story {n} of us</p><script>x<p>\n</script><!-- <p>no</p> --><div>foot\ner</div></body></html>"
     rows = [(n, f"https://A.example.org/{n}", page.format(n=n)) for n in range(30)] + [(n, "http://b.example.org", f"<p>{n}</p><p>Home</p>") for n in range(2)]
@@ -140,7 +173,11 @@ def test_lines_equal_their_sql(spark):
     got = [tuple(r) for r in boilerplate.report(df).collect()]
     assert sorted(got, key=key) == sorted(expected, key=key)
     dropped = {r.page_id: (r.n_dropped, r.kept) for r in boilerplate.kept_lines(df).collect()}
-    assert dropped[3] == (4, ["Story 3 of us"]) and dropped[1][0] in (0, 4) and dropped[91][0] == 0
+    assert dropped[3] == (4, ["Story 3 of us"]) and dropped[1][0] in (1, 4) and dropped[91][0] == 0
+    # Two equal pages that are all of a host; a page alone; columns beside the page's own, with names used inside.
+    few = [(1, "http://two.example.org/1", "<p>a</p><p>b</p>"), (2, "http://two.example.org/2", "<p>a</p><p>b</p>"), (3, "http://one.example.org", "<p>a</p>")]
+    more = spark.createDataFrame([(*x, "h", "l", 1) for x in few], "page_id long, url string, html string, host string, line string, total int")
+    assert {x.page_id: (x.n_lines, x.n_dropped) for x in boilerplate.report(more).collect()} == {1: (2, 2), 2: (2, 2), 3: (1, 0)}
     assert boilerplate.report(df.limit(0)).count() == 0
 
 
