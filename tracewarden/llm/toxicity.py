@@ -14,7 +14,6 @@ no part in learning them: FOLDS parts, each described by terms of the others.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -179,14 +178,19 @@ def is_quoted(text: str, start: int, end: int) -> bool:
 
 def features(text: Column, learned: list[str] = ()) -> Column:
     """The counts of FEATURES as an array of doubles; null and empty texts have zeros."""
-    terms = list(learned)
+    return features_by_list(text, F.lit(0), [learned])
+
+
+def features_by_list(text: Column, number: Column, lists: list[list[str]]) -> Column:
+    """As features(), the learned terms of each row being the list of that number."""
+    terms = [list(x) for x in lists]
 
     @F.pandas_udf("array<double>")
-    def run(parts: "pd.Series") -> "pd.Series":
-        scorer = run.scorer = getattr(run, "scorer", None) or Scorer(LEXICON, terms)
-        return pd.Series([scorer.features(t) for t in parts])
+    def run(parts: "pd.Series", numbers: "pd.Series") -> "pd.Series":
+        scorers = run.scorers = getattr(run, "scorers", None) or [Scorer(LEXICON, x) for x in terms]
+        return pd.Series([scorers[n].features(t) for t, n in zip(parts, numbers)])
 
-    return run(text.cast("string"))
+    return run(text.cast("string"), number.cast("int"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -203,29 +207,38 @@ def labelled(df: DataFrame, labels: DataFrame, rows: int = FITTED) -> DataFrame:
     chosen = smallest(texts.select("doc_id").distinct().join(marks, "doc_id"), F.xxhash64("doc_id"), rows).select("doc_id", "toxic")
     # At most ``rows`` pairs of numbers are broadcast.
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    return saved(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))), "labelled")
+    # Equal texts share a fold: none is described by terms that its copy taught.
+    return saved(sample.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLDS)).cast("int")), "labelled")
 
 
-def learned(sample: DataFrame, least: int = LEAST) -> list[str]:
-    """Words that at least ``least`` different toxic texts hold, and toxic texts LIKELIER times as often as others."""
-    texts = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    total = texts.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    if not total.t:
-        return []
+def learned(sample: DataFrame, least: int = LEAST) -> tuple[list[str], list[list[str]]]:
+    """Words that at least ``least`` different toxic texts hold, and toxic texts LIKELIER times as often as others; and for
+    each fold those that its complement teaches, where one toxic text less is enough. One pass counts for all of them."""
+    texts = sample.groupBy("fold", "text").agg(F.max("toxic").alias("toxic"))
+    sizes = {r.fold: (r.t, r.n) for r in texts.groupBy("fold").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()}
+    toxic, total = (sum(x[k] for x in sizes.values()) for k in (0, 1))
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W_]+(?:[*@$!][^\W_]+)*"), F.lit(0)))).alias("word")
-    each = texts.select("toxic", word).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where((F.col("t") >= least) & (F.length("word") > 2))
-    likelier = (F.col("t") + 0.5) / (total.t + 1) >= LIKELIER * (F.col("n") - F.col("t") + 0.5) / (total.n - total.t + 1)
-    return [r.word for r in each.where(likelier).orderBy("word").collect()]
+    inside = [F.col("fold") == fold for fold in range(FOLDS)]
+    apart = [f(F.when(x, F.col("toxic"))).alias(f"{c}{n}") for n, x in enumerate(inside) for f, c in ((F.sum, "t"), (F.count, "n"))]
+    each = texts.select("fold", "toxic", word).where(F.length("word") > 2).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), *apart)
+
+    def taught(t: Column, n: Column, most: int, rows: int, least: int) -> Column:
+        return (t >= least) & ((t + 0.5) / (most + 1) >= LIKELIER * (n - t + 0.5) / (rows - most + 1))
+
+    chosen = [taught(F.col("t"), F.col("n"), toxic, total, least)]
+    for fold in range(FOLDS):
+        t, n = sizes.get(fold, (0, 0))
+        chosen.append(taught(F.col("t") - F.coalesce(f"t{fold}", F.lit(0)), F.col("n") - F.col(f"n{fold}"), toxic - t, total - n, least - 1))
+    found = each.select("word", F.array(*chosen).alias("chosen")).where(F.exists("chosen", lambda x: x)).orderBy("word").collect()
+    lists = [[r.word for r in found if r.chosen[n]] for n in range(FOLDS + 1)]
+    return lists[0], lists[1:]
 
 
 def fit(sample: DataFrame) -> tuple[list[str], list[float]]:
     """Learned terms and weights, the constant first, from labelled()."""
-    terms = learned(sample)
-    parts = []
-    for fold in range(FOLDS):
-        others = learned(sample.where(F.col("fold") != fold), LEAST - 1)
-        parts.append(sample.where(F.col("fold") == fold).select("doc_id", features(F.col("text"), others).alias("features"), "toxic"))
-    found = reduce(DataFrame.union, parts).orderBy("doc_id").collect()
+    terms, without = learned(sample)
+    counts = features_by_list(F.col("text"), F.col("fold"), without)
+    found = sample.select("doc_id", counts.alias("features"), "toxic").orderBy("doc_id").collect()
     y = np.array([float(r.toxic) for r in found])
     if len(set(y.tolist())) < 2:
         return terms, PRIOR
