@@ -182,6 +182,19 @@ select s.session_id, s.snapshot_id, count(*) as actions,
 from s join a on a.session_id = s.session_id and a.seq <= s.as_of and a.seq > s.as_of - 25
 group by all"""
 
+ORACLES["replay_by_time"] = f"""
+with {EVENTS},
+c as (select session_id, epoch_us(min(ts)) as lo, epoch_us(max(ts)) as hi from a group by session_id),
+s as (select session_id, cast(k as bigint) as snapshot_id, lo + (hi - lo) * k // 3 as at from c, (select unnest([0, 1, 2]) as k) ks),
+p as (
+  select s.session_id, s.snapshot_id, list(a.seq order by a.ts desc, a.seq desc)[1] as as_of
+  from s join a on a.session_id = s.session_id and epoch_us(a.ts) <= s.at group by all
+)
+select p.session_id, p.snapshot_id, count(*) as actions,
+  max(least(p.as_of, 25) - (p.as_of - a.seq + 1) + 1) as max_pos, cast(sum(a.event_id) as bigint) as event_ids
+from p join a on a.session_id = p.session_id and a.seq <= p.as_of and a.seq > p.as_of - 25
+group by all"""
+
 ORACLES["turns"] = TURNS + """
 select session_id, turn_idx, coalesce(arg_min(coalesce(outgoing_data, ''), pos), '') as model_output, count(*) as action_count,
   bool_or(is_edit) as has_edit, bool_or(is_bash and success) as has_successful_bash,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewarden.functions import classify as c, fixed_values as fv
+from tracewarden.operators.asof import as_of
 from tracewarden.operators.lineage import cut
 
 MAX_HOPS = 50
@@ -166,23 +167,7 @@ def presence(sightings: DataFrame, snapshots: DataFrame, reap_after_seconds: flo
 
 
 def _first_snapshot_after(stops: DataFrame, snapshots: DataFrame, seconds: float) -> DataFrame:
-    """For every stop the first snapshot at or after its time + ``seconds``.
-
-    A snapshot answers all due times later than its predecessor and up to its
-    own time. These spans are cut into slots of ``seconds``, so that a due time
-    finds its span by an equal slot number.
-    """
-    width = int(seconds * 1_000_000)
-
-    def slot(at: Column) -> Column:
-        return F.floor(F.unix_micros(at.cast("timestamp")) / width)
-
-    previous = snapshots.select((F.col("snapshot_no") + 1).alias("snapshot_no"), F.col("taken_at").alias("after"))
-    spans = (
-        snapshots.join(previous, "snapshot_no")
-        .select(F.col("snapshot_no").alias("reap_no"), "after", F.col("taken_at").alias("reap_at"))
-        .withColumn("slot", F.explode(F.sequence(slot(F.col("after")), slot(F.col("reap_at")))))
-    )
-    due_at = F.col("taken_at") + F.make_dt_interval(secs=F.lit(seconds))
-    due = stops.withColumn("due_at", due_at).withColumn("slot", slot(F.col("due_at")))
-    return due.join(spans, "slot").where((F.col("due_at") > F.col("after")) & (F.col("due_at") <= F.col("reap_at")))
+    """For every stop the first snapshot at or after its time + ``seconds``, if there is one; a long gap costs nothing."""
+    due = stops.withColumn("due_at", F.col("taken_at") + F.make_dt_interval(secs=F.lit(seconds)))
+    found = as_of(due, snapshots.select("taken_at", "snapshot_no"), "due_at", "taken_at", after=True)
+    return found.where("match is not null").select("*", F.col("match.snapshot_no").alias("reap_no"), F.col("match.taken_at").alias("reap_at"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewarden.functions import classify as c, fixed_values as fv
+from tracewarden.operators.asof import as_of
+from tracewarden.operators.lineage import cut
 
 SESSION = ["session_id"]
 SNAPSHOT = ["session_id", "snapshot_id"]
@@ -270,7 +272,24 @@ def replay_at(actions: DataFrame, snapshots: DataFrame, max_size: int = 500, hot
     The range join runs on equal keys: a snapshot's buffer spans at most two
     blocks of ``max_size`` positions, so both sides meet on (session, block).
     """
-    indexed = numbered(actions, hot_rows)
+    return _replay_at(numbered(actions, hot_rows), snapshots, max_size)
+
+
+def replay_by_time(actions: DataFrame, ticks: DataFrame, max_size: int = 500, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The buffer at moments of a clock: ``ticks(session_id, snapshot_id, tick_at)``.
+
+    A tick shows the session as it was when the latest action at or before it, by time, then position, had come. Ticks
+    before a session's first action, or of sessions that are not there, show nothing; actions without a time are in the
+    buffer, but no tick ends at one. A gap between actions costs nothing, however long.
+    """
+    indexed = cut(numbered(actions, hot_rows))
+    moments = indexed.select("session_id", F.col("timestamp").alias("acted_at"), "idx")
+    latest = as_of(ticks.select("session_id", "snapshot_id", "tick_at"), moments, "tick_at", "acted_at", by=("session_id",))
+    points = latest.where("match is not null").select("session_id", "snapshot_id", F.col("match.idx").alias("as_of_idx"))
+    return _replay_at(indexed, points, max_size)
+
+
+def _replay_at(indexed: DataFrame, snapshots: DataFrame, max_size: int) -> DataFrame:
     lengths = _lengths(indexed).select(F.col("session_id").alias("l_id"), "total")
     # Beyond the session's end a snapshot shows its final state.
     clamped = snapshots.join(lengths, F.col("session_id").eqNullSafe(F.col("l_id"))).withColumn(
