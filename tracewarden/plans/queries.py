@@ -129,8 +129,8 @@ def replay_at_points(spark, folder):
 @query
 def replay_by_time(spark, folder):
     actions = events(spark, folder)
-    spans = actions.groupBy("session_id").agg(F.unix_micros(F.min("timestamp")).alias("lo"), F.unix_micros(F.max("timestamp")).alias("hi"))
-    each = spans.select("session_id", "lo", "hi", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).cast("long").alias("snapshot_id"))
+    spans = actions.groupBy("session_id").agg(F.unix_micros(F.min("timestamp").cast("timestamp")).alias("lo"), F.unix_micros(F.max("timestamp").cast("timestamp")).alias("hi"))
+    each = spans.select("session_id", "lo", "hi", F.explode(F.expr("array(0L, 1L, 2L)")).alias("snapshot_id"))
     ticks = each.select("session_id", "snapshot_id", F.timestamp_micros(F.expr("lo + (hi - lo) * snapshot_id div 3")).alias("tick_at"))
     replayed = b.replay_by_time(actions, ticks, max_size=25)
     return plain(
