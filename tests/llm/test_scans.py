@@ -160,6 +160,37 @@ def test_network_reads_whole_candidates(spark, network):
     assert {x.doc_id: x.spans for x in secrets.scanned(rows).collect()} == {1: "network:7:137", 2: "", 3: ""}
 
 
+def test_network_is_fitted_on_every_finding(spark, monkeypatch):
+    r = random.Random(13)
+    keys = ["".join(r.choice(secrets.LETTERS) for _ in range(30)) + "1" for _ in range(3100)] + ["".join(r.choice(secrets.LETTERS) for _ in range(900)) + "1"]
+    rows = spark.createDataFrame([(n, f'text {n % 7} token = "{k}" on') for n, k in enumerate([*keys, keys[0]])], "doc_id long, text string")
+    found = secrets.findings(secrets._found(rows))
+    windows = {bytes(x.window): x.late for x in found.collect()}
+    assert {len(w) for w in windows} == {31 + 32, 901 + 32} and len(windows) == found.count() >= 3101
+    # Every finding is in one part of the fit or in the calibration.
+    monkeypatch.setattr(secrets, "PART", 700)
+    parts, seen, counted = [], secrets._fitted, []
+    monkeypatch.setattr(secrets, "_fitted", lambda network, early, n, *makes: (parts.extend(early.collect()), seen(network, early, n, *makes)))
+    outputs = secrets._outputs
+    monkeypatch.setattr(secrets, "_outputs", lambda network, late: (counted.append(late.count()), outputs(network, late))[1])
+    network = secrets.trained(found)
+    assert len({x.part for x in parts}) == 3 and {bytes(x.window) for x in parts} == {w for w, late in windows.items() if not late}
+    assert len(parts) + counted[0] == len(windows)
+    # Fitted by parts, it tells new keys from ordinary candidates as well as by one.
+    new, plain = secrets.generated({"plain": secrets.SECRETS["plain"]}, True, 200, 79), secrets.generated(secrets.ORDINARY, False, 100, 80)
+    assert (network.probability(new) >= network.threshold).mean() >= 0.95 and (network.probability(plain) >= network.threshold).mean() <= 0.05
+
+
+def test_peaks_of_stretches(network):
+    windows = [w for w, _ in zip(secrets.generated(secrets.SECRETS, True, 2, 81), range(20))]
+    whole, cut = network._peaks(windows), network._peaks(windows, 11)
+    assert np.allclose(whole[1], cut[1], atol=1e-4) and np.allclose(whole[3], cut[3], atol=1e-3)
+    # Ties may be taken elsewhere: with the same value.
+    for x, _, at, _ in (whole, cut):
+        there = network.bias + sum(network.table[k][x[at + k], np.arange(secrets.FILTERS)] for k in range(secrets.SPAN))
+        assert np.allclose(there, whole[1], atol=1e-4)
+
+
 def test_lines_equal_their_sql(spark):
     page = "<html><body><nav><li>Home</li><li>About</li></nav><p>Story {n} of us</p><script>x<p>\n</script><!-- <p>no</p> --><div>foot\ner</div></body></html>"
     rows = [(n, f"https://A.example.org/{n}", page.format(n=n)) for n in range(30)] + [(n, "http://b.example.org", f"<p>{n}</p><p>Home</p>") for n in range(2)]

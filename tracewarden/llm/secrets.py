@@ -7,6 +7,10 @@ the words around them (so that the network cannot live on them), and generated o
 identifiers, paths, dates, numbers and uuids. Uncovered candidates of the corpus have no label and teach nothing. The
 outputs are calibrated on makes that the network was not fitted on, and the threshold is the most precise that still
 finds the wanted share of the secrets among them.
+
+All different findings of the rules take part, whole: two thirds are dealt to parts, each of which is fitted beside the
+generated ones in a task of its own, and the weights are averaged after every round; the outputs for the others are
+counted in fine steps, so that the driver sees counts alone.
 """
 
 from __future__ import annotations
@@ -14,15 +18,17 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from copy import deepcopy
 from itertools import accumulate
 from random import Random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.shared import documents, saved, smallest
+from tracewarden.llm.shared import documents, saved
 
 #: The given rules.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -39,10 +45,13 @@ OTHER = len(CLASSES) + 1
 FILTERS, SPAN = 24, 5
 #: Positions read at once: longer candidates are read in stretches, with the same result.
 STRETCH = 65_536
-#: The rules' findings that the network is fitted on, at most (those with the smallest hashes, of at most LONGEST
-#: characters with their surroundings); generated ones of each make; rounds; share of the secrets that the threshold
-#: must keep.
-FITTED, LONGEST, GENERATED, ROUNDS, RECALL = 3000, 512, 150, 12, 0.99
+#: The rules' findings, and their characters, that one part of the fit has about; generated ones of each make; rounds;
+#: share of the secrets that the threshold must keep.
+PART, PART_BYTES, GENERATED, ROUNDS, RECALL = 2000, 1 << 22, 150, 12, 0.99
+#: Findings that the calibration weighs in full: more of them share this weight, and generated ones keep theirs.
+WEIGHED = 1000
+#: Outputs are counted in steps of 1 / STEPS, at most MOST steps up and down. Averages of parts that meet in one task.
+STEPS, MOST, MEETING = 512, 1 << 16, 16
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 LETTERS = LOWER + UPPER + DIGITS
@@ -176,22 +185,62 @@ class Network:
         self.bias = np.zeros(FILTERS, np.float32)
         self.top = random.normal(0, 0.2, 3 * FILTERS + 1).astype(np.float32)
         self.slope, self.shift, self.threshold = 1.0, 0.0, 1.1
+        #: Running means of the gradients and of their squares, steps so far.
+        self.first, self.second, self.turn = [np.zeros_like(w) for w in self.weights()], [np.zeros_like(w) for w in self.weights()], 0
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.table, self.bias, self.top]
+
+    def state(self) -> np.ndarray:
+        """Weights and running means in a row."""
+        return np.concatenate([w.ravel() for w in self.weights() + self.first + self.second]).astype(np.float64)
+
+    def restore(self, state: np.ndarray, turn: int) -> None:
+        at, self.turn = 0, turn
+        for w in self.weights() + self.first + self.second:
+            w[...] = state[at : at + w.size].reshape(w.shape)
+            at += w.size
 
     def _filtered(self, x: np.ndarray) -> np.ndarray:
         steps = len(x) - SPAN + 1
         return self.bias + sum(self.table[k][x[k : k + steps]] for k in range(SPAN))
 
-    def _forward(self, windows: list[bytes]):
-        """Codes in a row, filter values, where regions start (a fourth one is the gap), their largest values, outputs."""
+    def _row(self, windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes in a row, and where the regions of each window start (a fourth one is the gap)."""
         gap = bytes(SPAN - 1)
         x = np.frombuffer(gap.join(windows) + gap + b"\0", np.uint8)
         sizes = np.array([len(w) for w in windows])
         first = np.cumsum(sizes + SPAN - 1) - sizes - SPAN + 1
-        cuts = np.stack([first, first + BEFORE, first + sizes - AFTER, first + sizes], axis=1).ravel()
+        return x, np.stack([first, first + BEFORE, first + sizes - AFTER, first + sizes], axis=1).ravel()
+
+    def _forward(self, windows: list[bytes]):
+        """Codes in a row, filter values, where regions start, their largest values, outputs."""
+        x, cuts = self._row(windows)
         h = self._filtered(x)
         best = np.maximum.reduceat(h, cuts, axis=0).reshape(len(windows), 4, FILTERS)
         return x, h, cuts, best, self._out(best[:, :3])
 
+    def _peaks(self, windows: list[bytes], stretch: int = STRETCH):
+        """Codes in a row, the regions' largest values and where they stand, outputs. Long rows are read in stretches."""
+        if sum(map(len, windows)) <= stretch:
+            x, h, cuts, best, out = self._forward(windows)
+            region = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(h))))
+            place, filters = np.nonzero(h == best.reshape(-1, FILTERS)[region])
+            at = np.zeros((len(cuts), FILTERS), np.int64)
+            at[region[place], filters] = place
+            return x, best[:, :3], at.reshape(best.shape)[:, :3], out
+        x, cuts = self._row(windows)
+        best, at = np.full((len(windows), 3, FILTERS), -np.inf, np.float32), np.zeros((len(windows), 3, FILTERS), np.int64)
+        for n, edges in enumerate(cuts.reshape(-1, 4)):
+            for k in range(3):
+                for a in range(edges[k], edges[k + 1], stretch):
+                    h = self._filtered(x[a : min(a + stretch, edges[k + 1]) + SPAN - 1])
+                    place = h.argmax(axis=0)
+                    value = h[place, np.arange(FILTERS)]
+                    at[n, k] = np.where(value > best[n, k], place + a, at[n, k])
+                    best[n, k] = np.maximum(value, best[n, k])
+        return x, best, at, self._out(best)
+
     def _out(self, best: np.ndarray) -> np.ndarray:
         return np.maximum(best, 0).reshape(len(best), -1) @ self.top[:-1] + self.top[-1]
 
@@ -222,52 +271,52 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(windows) + self.shift, -30, 30)))
 
     def fit(self, windows: list[bytes], y: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> None:
+        """Rounds of Adam, from where the last ones ended."""
         random, rate = np.random.default_rng(seed), 0.01
-        weights = [self.table, self.bias, self.top]
-        first, second, turn = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         for _ in range(rounds):
             for part in np.array_split(random.permutation(len(y)), max(1, len(y) // 64)):
-                x, h, cuts, best, out = self._forward([windows[n] for n in part])
+                x, best, at, out = self._peaks([windows[n] for n in part])
                 error = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[part]) / len(part)
-                region = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(h))))
-                place, filters = np.nonzero(h == best.reshape(-1, FILTERS)[region])
-                at = np.zeros((len(cuts), FILTERS), np.int64)
-                at[region[place], filters] = place
-                at, best = at.reshape(best.shape)[:, :3], best[:, :3]
                 top = np.append(np.maximum(best, 0).reshape(len(part), -1).T @ error, error.sum())
                 down = (error[:, None] * self.top[:-1]).reshape(best.shape) * (best > 0)
                 table = np.zeros_like(self.table)
                 columns = np.broadcast_to(np.arange(FILTERS), at.shape)
                 for k in range(SPAN):
                     np.add.at(table[k], (x[at + k], columns), down)
-                turn += 1
-                for w, g, m, v in zip(weights, [table, down.sum(axis=(0, 1)), top], first, second):
+                self.turn += 1
+                for w, g, m, v in zip(self.weights(), [table, down.sum(axis=(0, 1)), top], self.first, self.second):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
-                    w -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
+                    w -= rate * (m / (1 - 0.9**self.turn)) / (np.sqrt(v / (1 - 0.999**self.turn)) + 1e-8)
+
+    def steps(self, windows: list[bytes]) -> np.ndarray:
+        """Outputs as numbers of steps."""
+        return np.clip(np.rint(self.raw(windows).astype(float) * STEPS), -MOST, MOST).astype(np.int64)
 
-    def calibrate(self, windows: list[bytes], y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt's scaling, then a threshold that keeps the share of positives at the best precision."""
-        raw = self.raw(windows).astype(float)
-        goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    def calibrate(self, raw: np.ndarray, y: np.ndarray, weight: np.ndarray, recall: float = RECALL) -> None:
+        """Platt's scaling of weighted outputs, then a threshold that keeps the share of positives at the best precision."""
+        positive, negative = (weight * y).sum(), (weight * (1 - y)).sum()
+        goal = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
         z = np.column_stack([raw, np.ones(len(raw))])
         prior = np.array([1.0, 0.0])
 
         def loss(w: np.ndarray) -> float:
-            return float((np.logaddexp(0, z @ w) - goal * (z @ w)).sum() + 5e-4 * ((w - prior) ** 2).sum())
+            return float((weight * (np.logaddexp(0, z @ w) - goal * (z @ w))).sum() + 5e-4 * ((w - prior) ** 2).sum())
 
         w = prior
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), z.T @ (goal - p) - 1e-3 * (w - prior))
+            step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), z.T @ (weight * (goal - p)) - 1e-3 * (w - prior))
             # Outputs far out make whole steps overshoot.
             part = next((f for f in 0.5 ** np.arange(30) if loss(w + f * step) < loss(w)), 0.0)
             w = w + part * step
             if not part:
                 break
         self.slope, self.shift = w.tolist()
-        good, bad = np.sort(raw[y > 0]), raw[y == 0]
-        most = good[int((1 - recall) * len(good))]
+        good, bad = np.flatnonzero(y > 0), raw[y == 0]
+        good = good[np.argsort(raw[good], kind="stable")]
+        sums = np.cumsum(weight[good])
+        most = raw[good[min(np.searchsorted(sums, (1 - recall) * sums[-1], side="right"), len(good) - 1)]]
         # Any lower threshold above the next finding that is no secret is as precise: the middle is the safest.
         least = max(bad[bad < most].max(initial=most - 2.0), -self.shift / self.slope if self.slope > 0 else most)
         middle = (most + min(least, most)) / 2
@@ -297,19 +346,87 @@ def _only_numbers(found: bytes) -> bool:
     return set(found[BEFORE : len(found) - AFTER]) <= {CLASSES[c] for c in DIGITS + "+/_=-"}
 
 
-def trained(findings: list[bytes], secrets: dict = SECRETS, ordinary: dict = ORDINARY) -> Network:
+def _hash(found: bytes) -> int:
+    return xxhash.xxh64_intdigest(found, seed=3)
+
+
+def own(findings: list[bytes]) -> list[bytes]:
+    """Findings as they stand, then moved. Findings of digits alone are secrets only where they stand."""
+    return findings + [moved(Random(_hash(w)), w) for w in findings if not _only_numbers(w)]
+
+
+def made(late: bool, secrets: dict, ordinary: dict) -> tuple[list[bytes], list[bytes]]:
+    """Generated secrets, of three quarters of the makes or (``late``) the others, and ordinary candidates."""
+    makes = {k: m for n, (k, m) in enumerate(secrets.items()) if (n % 4 == 1) == late}
+    return generated(makes, True, 2 * GENERATED, 1 + late), generated(ordinary, False, (3 - late) * GENERATED, 5 + late)
+
+
+def _averages(rows: list[tuple[int, bytes]]) -> bytes:
+    """The average of states, each as often as it says."""
+    total = sum(n for n, _ in rows)
+    return (sum(n * np.frombuffer(state) for n, state in rows) / total).tobytes()
+
+
+def _fitted(network: Network, early: DataFrame, parts: int, secrets: dict, ordinary: dict) -> None:
+    """Fit on ``early`` (part, window): a task for every part, weights averaged after every round."""
+    each = ROUNDS if parts == 1 else 1
+
+    def fit(seed: int):
+        def run(group: pa.Table) -> pa.Table:
+            # A task may hold several parts: each starts from the same weights.
+            one, found = deepcopy(network), sorted(group.column("window").to_pylist())
+            yes, no = made(False, secrets, ordinary)
+            yes += own(found)
+            one.fit(yes + no, np.array([1.0] * len(yes) + [0.0] * len(no)), each, seed)
+            part = group.column("part")[0].as_py()
+            return pa.table({"part": [part], "n": [len(found)], "turn": [one.turn], "state": [one.state().tobytes()]})
+
+        def meet(group: pa.Table) -> pa.Table:
+            rows = sorted(zip(*(group.column(c).to_pylist() for c in ("part", "n", "turn", "state"))))
+            state = _averages([(n, s) for _, n, _, s in rows])
+            return pa.table({"part": [rows[0][0]], "n": [sum(r[1] for r in rows)], "turn": [max(r[2] for r in rows)], "state": [state]})
+
+        schema = "part long, n long, turn long, state binary"
+        # The number of partitions is given, so that Spark does not join the tasks.
+        fitted = early.repartition(parts, "part").groupBy("part").applyInArrow(run, schema)
+        return fitted if parts <= MEETING else fitted.groupBy(F.pmod("part", F.lit(MEETING)).alias("meeting")).applyInArrow(meet, schema)
+
+    for n in range(0, ROUNDS, each):
+        rows = sorted(fit(11 + n).collect(), key=lambda r: r.part)
+        network.restore(np.frombuffer(_averages([(r.n, r.state) for r in rows])), max(r.turn for r in rows))
+
+
+def _outputs(network: Network, late: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the outputs for ``late`` (window), as they stand and moved, and how many of each there are."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(network.steps(own(batch.column("window").to_pylist())))], names=["step"])
+
+    rows = late.select("window").mapInArrow(run, "step long").groupBy("step").count().collect()
+    rows = np.array(sorted((r["step"], r["count"]) for r in rows), np.int64).reshape(-1, 2)
+    return rows[:, 0], rows[:, 1]
+
+
+def trained(findings: DataFrame | list[bytes], secrets: dict = SECRETS, ordinary: dict = ORDINARY) -> Network:
     """A network fitted on three quarters of the makes of secrets and two thirds of the rules' findings, and calibrated on
-    the rest: those makes are new to it there. Findings of digits alone are secrets only where they stand."""
-    r, sides = Random(3), ([], [])
-    for late in (False, True):
-        good = {k: m for n, (k, m) in enumerate(secrets.items()) if (n % 4 == 1) == late}
-        own = [w for n, w in enumerate(findings) if (n % 3 == 0) == late]
-        own += [moved(r, w) for w in own if not _only_numbers(w)]
-        yes, no = generated(good, True, 2 * GENERATED, 1 + late) + own, generated(ordinary, False, (3 - late) * GENERATED, 5 + late)
-        sides[late].extend([(w, 1.0) for w in yes] + [(w, 0.0) for w in no])
-    network = Network()
-    network.fit([w for w, _ in sides[0]], np.array([p for _, p in sides[0]]))
-    network.calibrate([w for w, _ in sides[1]], np.array([p for _, p in sides[1]]))
+    the rest: those makes are new to it there. ``findings`` has all different windows (``window``), or is an empty list."""
+    network, steps, counts, n_early, n_late, size = Network(), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, 0
+    if not isinstance(findings, list):
+        of = findings.agg(*(F.count(F.when(F.col("late") == late, 1)) for late in (False, True)), F.sum(F.when(~F.col("late"), F.length("window"))))
+        n_early, n_late, size = of.first()
+    if n_early:
+        parts = max(-(-n_early // PART), -(-size // PART_BYTES))
+        _fitted(network, findings.where("not late").select(F.pmod(F.xxhash64("window"), F.lit(parts)).alias("part"), "window"), parts, secrets, ordinary)
+    else:
+        yes, no = made(False, secrets, ordinary)
+        network.fit(yes + no, np.array([1.0] * len(yes) + [0.0] * len(no)))
+    if n_late:
+        steps, counts = _outputs(network, findings.where("late"))
+    yes, no = (network.steps(w) for w in made(True, secrets, ordinary))
+    y = np.repeat([1.0, 1.0, 0.0], [len(yes), len(steps), len(no)])
+    weight = np.concatenate([np.ones(len(yes)), counts * min(1.0, WEIGHED / max(1, n_late)), np.ones(len(no))])
+    network.calibrate(np.concatenate([yes, steps, no]) / STEPS, y, weight)
     return network
 
 
@@ -330,14 +447,19 @@ def _found(df: DataFrame) -> DataFrame:
     return saved(documents(df).mapInArrow(run, "doc_id long, spans array<long>, found array<struct<start:long,end:long,covered:boolean,window:binary>>"), "found")
 
 
-def findings(found: DataFrame, rows: int = FITTED) -> list[bytes]:
-    """Windows of candidates that a rule covers, at most ``rows``: those with the smallest hashes."""
-    each = found.select(F.explode("found").alias("x")).where("x.covered").select("x.window").where(F.length("window") <= LONGEST)
-    taken = smallest(each.distinct().withColumn("order", F.xxhash64("window")), F.col("order"), rows).collect()
-    return [bytes(r.window) for r in sorted(taken, key=lambda r: (r.order, bytes(r.window)))]
+def findings(found: DataFrame) -> DataFrame:
+    """All different windows of candidates that a rule covers, a third of them ``late``."""
+
+    def run(batches):
+        for batch in batches:
+            late = [_hash(w) % 3 == 0 for w in batch.column("window").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("window"), pa.array(late, pa.bool_())], names=["window", "late"])
+
+    each = found.select(F.explode("found").alias("x")).where("x.covered").select("x.window").distinct()
+    return saved(each.mapInArrow(run, "window binary, late boolean"), "findings", tidy=False)
 
 
-def scanned(df: DataFrame, rows: int = FITTED) -> DataFrame:
+def scanned(df: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end, joined by commas, in order of start, then kind, then end; code points, end exclusive. Null
@@ -346,7 +468,7 @@ def scanned(df: DataFrame, rows: int = FITTED) -> DataFrame:
     """
     found = _found(df)
     uncovered = F.exists("found", lambda x: ~x["covered"])
-    network = None if found.where(uncovered).isEmpty() else trained(findings(found, rows))
+    network = None if found.where(uncovered).isEmpty() else trained(findings(found))
 
     def run(batches):
         for batch in batches:
