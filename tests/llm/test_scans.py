@@ -261,6 +261,16 @@ def test_windows_belong_to_the_same_gram_wherever_they_stand():
         assert set(suffixes.seen([b"short", lead + core])[1].tolist()) == set(hashes.tolist())
 
 
+def test_windows_belong_to_the_first_of_the_least_grams():
+    r = random.Random(10)
+    width = suffixes.LENGTH - suffixes.GRAM + 1
+    for text in (b"a" * 300, b"abc" * 200, bytes(r.choice(b"ab") for _ in range(2000)), bytes(r.choice(b"abcd ") for _ in range(2**16 + 500)) + b"xy" * 40_000):
+        h = suffixes.gram_hashes(np.frombuffer(text + bytes(40), np.uint8), len(text) - suffixes.GRAM + 1, suffixes.GRAM)
+        each = np.lib.stride_tricks.sliding_window_view(h, width)
+        owner, hashes = suffixes.windows(text)
+        assert (owner == np.arange(len(each)) + each.argmin(axis=1)).all() and (hashes == each.min(axis=1)).all()
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for n, x in enumerate(a):

@@ -28,6 +28,8 @@ LENGTH, GRAM = 50, 24
 CHUNK = 1 << 18
 #: Six bytes of a hash are kept.
 LOW = np.uint64(2**48 - 1)
+#: Positions that the other two bytes can tell apart.
+PLACES = np.arange(1 << 16, dtype=np.uint64)
 
 
 def _words(buffer: np.ndarray, count: int) -> np.ndarray:
@@ -66,18 +68,17 @@ def windows(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     if count <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     owners, hashes, width = [], [], length - gram + 1
-    for a in range(0, count, CHUNK):
-        n = min(CHUNK, count - a)
+    step = len(PLACES) - width + 1
+    for a in range(0, count, step):
+        n = min(step, count - a)
         part = np.frombuffer(text[a : a + n + length] + bytes(16), np.uint8)
+        # Six bytes of hash, then two of place: the least is the first of those with the least hash.
         h = gram_hashes(part, n + width - 1, gram)
+        h <<= np.uint64(16)
+        h |= PLACES[: len(h)]
         least = _least(h, width)[:n]
-        at = np.arange(n)
-        wrong = np.flatnonzero(h[at] != least)
-        while len(wrong):
-            at[wrong] += 1
-            wrong = wrong[h[at[wrong]] != least[wrong]]
-        owners.append(at + a)
-        hashes.append(least)
+        owners.append((least & PLACES[-1]).astype(np.int64) + a)
+        hashes.append(least >> np.uint64(16))
     return np.concatenate(owners), np.concatenate(hashes)
 
 
@@ -304,12 +305,14 @@ def contexts(candidates: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             dest, first, which, doc, start = [], [], [], [], []
             for n, text in enumerate(_texts(batch.column("bytes"))):
                 owner, hashes = windows(text, length, gram)
-                kept = np.isin(hashes, np.asarray(lists[n].values).view(np.uint64))
-                a = np.flatnonzero(kept & np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-                if not len(a):
+                if not len(owner):
                     continue
-                ends = np.r_[np.flatnonzero(owner[1:] != owner[:-1]), len(owner) - 1]
-                b = ends[np.searchsorted(ends, a)]
+                # The windows of a k-gram stand in a run.
+                last = np.append(np.flatnonzero(owner[1:] != owner[:-1]), len(owner) - 1)
+                kept = np.isin(hashes[last], np.asarray(lists[n].values).view(np.uint64))
+                if not kept.any():
+                    continue
+                a, b = np.append(0, last[:-1] + 1)[kept], last[kept]
                 goes = _dest(hashes[a], count).tolist()
                 for p, q, to in zip(a.tolist(), b.tolist(), goes):
                     context = text[p : q + length]
