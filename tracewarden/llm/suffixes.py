@@ -92,13 +92,26 @@ def seen(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[np.
             return
         lengths = np.array([len(t) for t in group])
         total = int(lengths.sum())
+        starts = np.cumsum(lengths) - lengths
+        if not total:
+            out.extend(np.zeros(0, np.uint64) for _ in group)
+            group.clear()
+            return
         h = gram_hashes(np.frombuffer(b"".join(group) + bytes(gram + 16), np.uint8), total, gram)
         least = _least(h, width)
-        start = 0
-        for n in lengths.tolist():
-            own = least[start : start + n - length + 1] if n >= length else least[:0]
-            out.append(np.unique(own[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])] if len(own) else own))
-            start += n
+        # Where a window starts, and where the least hash is another than before.
+        edge = np.zeros(total + 1, np.int8)
+        some = lengths >= length
+        edge[starts[some]] = 1
+        edge[(starts + lengths - length + 1)[some]] = -1
+        new = np.r_[True, least[1:] != least[:-1]]
+        new[starts[some]] = True
+        at = np.flatnonzero(new & np.cumsum(edge[:-1], dtype=np.int8).view(bool))
+        # Two bytes of text, then six of hash.
+        key = np.sort((np.searchsorted(starts, at, "right") - 1).astype(np.uint64) << np.uint64(48) | least[at])
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+        cuts = np.searchsorted(key, np.arange(1, len(group), dtype=np.uint64) << np.uint64(48))
+        out.extend(np.split(key & LOW, cuts))
         group.clear()
 
     for text in texts:
@@ -109,13 +122,27 @@ def seen(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> list[np.
             continue
         group.append(text)
         size += len(text)
-        if size > CHUNK:
+        if size > CHUNK or len(group) == len(PLACES):
             flush()
             size = 0
     flush()
     return out
 
 
+def _named(triple: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
+    """The rank of each triple (from 1) among the different ones, all below ``limit``, and how many these are."""
+    if limit <= max(1 << 20, 2 * len(triple)):
+        there = np.zeros(limit, bool)
+        there[triple] = True
+        number = np.cumsum(there, dtype=np.int32)
+        return number[triple].astype(np.int64), int(number[-1])
+    by = np.argsort(triple)
+    sorted_ = triple[by]
+    name = np.empty(len(triple), np.int64)
+    name[by] = np.cumsum(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    return name, int(name[by[-1]])
+
+
 def suffix_order(s: np.ndarray, names: int, need: int) -> np.ndarray:
     """Positions of ``s`` (numbers from 1 to ``names``, 0 between texts) sorted by at least the first ``need`` numbers
     of their suffixes."""
@@ -123,50 +150,53 @@ def suffix_order(s: np.ndarray, names: int, need: int) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     s = np.concatenate([s, np.zeros(3, s.dtype)])
-    position = np.arange(n)
-    one, two = position[1::3], position[2::3]
-    sampled = np.concatenate([one, two])
-    if names < 2_000_000:
-        triple = (s[sampled] * (names + 1) + s[sampled + 1]) * (names + 1) + s[sampled + 2]
-    else:
-        pair = np.unique(s[sampled] * (names + 1) + s[sampled + 1], return_inverse=True)[1]
-        triple = pair * (names + 1) + s[sampled + 2]
-    found, name = np.unique(triple, return_inverse=True)
-    del triple
-    name += 1
+    # Positions of remainder 0, 1 and 2 modulo 3; those of 1, then those of 2 are sampled.
+    zeros, ones, twos = ((n - k + 2) // 3 for k in range(3))
+    wide = names + 1
+
+    def pairs(at: int, count: int) -> np.ndarray:
+        return s[at::3][:count] * wide + s[at + 1 :: 3][:count]
+
+    pair = np.concatenate([pairs(1, ones), pairs(2, twos)])
+    limit = wide**3
+    if names >= 2_000_000:
+        pair = np.unique(pair, return_inverse=True)[1]
+        limit = (len(pair) + 1) * wide
+    triple = pair * wide
+    triple[:ones] += s[3::3][:ones]
+    triple[ones:] += s[4::3][:twos]
+    name, found = _named(triple, limit)
+    del pair, triple
     rank = np.zeros(n + 3, np.int64)
-    if len(found) < len(sampled) and need > 3:
-        deeper = suffix_order(np.concatenate([name[: len(one)], [0], name[len(one) :]]), len(found), (need + 2) // 3)
-        deeper = deeper[deeper != len(one)]
-        ordered = sampled[deeper - (deeper > len(one))]
-        rank[ordered] = np.arange(1, len(ordered) + 1)
+    if found < len(name) and need > 3:
+        deeper = suffix_order(np.concatenate([name[:ones], [0], name[ones:]]), found, (need + 2) // 3)
+        deeper = deeper[deeper != ones]
+        ordered = deeper - (deeper > ones)
+        name[ordered] = np.arange(1, len(ordered) + 1)
     else:
-        rank[sampled] = name
-        ordered = sampled[np.argsort(name, kind="stable")]
+        ordered = np.argsort(name)
+    rank[1:n:3], rank[2:n:3] = name[:ones], name[ones:]
     top = n + 1
-    rest = position[::3]
-    key = s[rest] * top + rank[rest + 1]
-    by = np.argsort(key, kind="stable")
-    rest, key = rest[by], key[by]
+    key = s[::3][:zeros] * top + rank[1::3][:zeros]
+    by = np.argsort(key)
     # How many of the rest stand before each sampled suffix.
     before = np.zeros(len(ordered), np.int64)
-    first = ordered % 3 == 1
-    at = ordered[first]
-    before[first] = np.searchsorted(key, s[at] * top + rank[at + 1])
-    at = ordered[~first]
-    both = np.concatenate([rest, at])
-    head = s[both] * (names + 1) + s[both + 1]
+    first = ordered < ones
+    before[first] = np.searchsorted(key[by], (s[1::3][:ones] * top + rank[2::3][:ones])[ordered[first]])
+    head = np.concatenate([pairs(0, zeros), pairs(2, twos)])
     if names * names * top > 2**62:
         head = np.unique(head, return_inverse=True)[1]
-    head = head * top + rank[both + 2]
-    before[~first] = np.searchsorted(head[: len(rest)], head[len(rest) :])
+    head *= top
+    head[:zeros] += rank[2::3][:zeros]
+    head[zeros:] += rank[4::3][:twos]
+    before[~first] = np.searchsorted(head[:zeros][by], head[zeros:][ordered[~first] - ones])
     before = np.maximum.accumulate(before)
     out = np.empty(n, np.int64)
     place = before + np.arange(len(ordered))
     free = np.ones(n, bool)
     free[place] = False
-    out[place] = ordered
-    out[free] = rest
+    out[place] = np.where(first, 3 * ordered + 1, 3 * (ordered - ones) + 2)
+    out[free] = 3 * by
     return out
 
 
@@ -177,11 +207,13 @@ def earlier(contexts: list[bytes], first: np.ndarray, length: int = LENGTH) -> n
     data = np.frombuffer(b"\0".join(contexts) + bytes(length + 16), np.uint8)
     n = int(sizes.sum()) + len(contexts) - 1
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    s = data[:n].astype(np.int64) + 1
+    # Bytes that occur are numbered in order: few numbers have few triples.
+    there = np.bincount(data[:n], minlength=256) > 0
+    s = np.cumsum(there)[data[:n]]
     s[starts[1:] - 1] = 0
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)[:n]
     valid = np.arange(n) - starts[owner] <= sizes[owner] - length
-    order = suffix_order(s, 256, length)
+    order = suffix_order(s, int(there.sum()), length)
     order = order[valid[order]]
     words = _words(data, len(data) - 7)
     same = np.ones(len(order) - 1, bool)
