@@ -38,8 +38,10 @@ TREES, LEVELS, CHOICES = 4, 3, 2
 LEAF, PIVOTS = 128, 4
 #: Blocks of LEAF documents apart from the main component up to which a large node is settled instead of branched.
 BLOCKS = 4
-#: Ranges of a sketch. Sets of at least ENOUGH tokens are dropped below a likeness of LIKELY: five standard deviations.
-RANGES, ENOUGH, LIKELY = 128, 256, 0.65
+#: Documents of a block and of a part that it meets: so many times LEAF, as far as their sets fit a task. Rows fall by it.
+WIDER = 4
+#: Ranges of a sketch. Pairs are dropped below a likeness of LIKELY or, if less, so many standard deviations under LIKENESS.
+RANGES, LIKELY, DEVIATIONS = 128, 0.65, 6
 SEED = 12
 #: Tokens hashed at once, bytes of an output batch, of the sets that one task compares; rows of a task that reads sketches.
 CHUNK, BATCH, TASK, ROWS = 1 << 12, 1 << 24, 1 << 25, 20_000
@@ -114,14 +116,15 @@ def likely(sizes: np.ndarray, sketches: np.ndarray, parts: np.ndarray, known: np
     """Groups of positions that likely pairs connect: neither connected nor compared yet, of sizes and sketches near enough."""
     over, under = LIKENESS
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
+    # The share of equal ranges among those held is a sample without replacement of the likeness, whatever the sets' size.
+    held = np.arange(RANGES + 1)
+    least = np.minimum(LIKELY * held, over / under * held - DEVIATIONS * np.sqrt(over / under * (1 - over / under) * held))
     may = (parts[:, None] != parts[None, :]) & (known[:, None] != known[None, :]) & (under * small >= over * large)
     for i in np.flatnonzero(may.any(axis=1)):
         js = i + 1 + np.flatnonzero(may[i, i + 1 :])
-        js = js[small[i, js] >= ENOUGH]
         if len(js):
-            same = (sketches[js] == sketches[i]) & (sketches[i] > 0)
-            held = (sketches[js] > 0) | (sketches[i] > 0)
-            off = js[same.sum(axis=1) < LIKELY * held.sum(axis=1)]
+            same = ((sketches[js] == sketches[i]) & (sketches[i] > 0)).sum(axis=1)
+            off = js[same < least[((sketches[js] > 0) | (sketches[i] > 0)).sum(axis=1)]]
             may[i, off] = may[off, i] = False
     out, free = [], may.any(axis=1)
     while free.any():
@@ -176,16 +179,16 @@ class Join:
         self.settled: DataFrame | None = None
 
     def labelled(self) -> DataFrame:
-        """print, its component so far (``part``, a print that stands for it), and ``known``: the largest node that it
+        """print, size, its component so far (``part``, a print that stands for it), and ``known``: the largest node that it
         was settled in, else the component. Documents of one part or one known node need no comparison."""
-        found = self.sets.select("print")
+        found = self.sets.select("print", "size")
         if self.component is None:
-            return found.select("print", F.col("print").alias("part"), F.col("print").alias("known"))
-        found = found.join(self.component, F.col("print") == F.col("node"), "left").select("print", F.coalesce("component", "print").alias("part"))
+            return found.select("print", "size", F.col("print").alias("part"), F.col("print").alias("known"))
+        found = found.join(self.component, F.col("print") == F.col("node"), "left").select("print", "size", F.coalesce("component", "print").alias("part"))
         if self.settled is None:
             return found.withColumn("known", F.col("part"))
         done = self.settled.select(F.col("print").alias("of"), F.unhex(F.hex("in.node")).alias("done"))
-        return found.join(done, F.col("print") == F.col("of"), "left").select("print", "part", F.coalesce("done", "part").alias("known"))
+        return found.join(done, F.col("print") == F.col("of"), "left").select("print", "size", "part", F.coalesce("done", "part").alias("known"))
 
     def settle(self, members: DataFrame) -> None:
         """Remember the members of large nodes all pairs of which have been compared."""
@@ -255,9 +258,14 @@ class Join:
         return each.union(everywhere.select(F.xxhash64("node", "at").alias("grp"), "print"))
 
     def apart(self, large: DataFrame) -> DataFrame:
-        """(grp, print): what is not in its node's main group meets every part of the node, in blocks."""
+        """(grp, print): what is not in its node's main group meets every part of the node, in blocks; without a main
+        group all do. Each document comes once for every block or part that it meets, so these are as large as sets allow."""
+        # Two sides of mean sets fill a task; the mean is the same for both kinds of members.
+        mean = large.groupBy("node").agg((F.sum("size") / F.count("*")).alias("mean"))
+        large = large.join(mean, "node")
+        side = F.greatest(F.lit(LEAF), F.least(F.lit(WIDER * LEAF), F.floor(F.lit(TASK // 16) / F.col("mean"))))
         placed = large.select(
-            "node", "print", (F.col("known") != F.col("main")).alias("is_off"), F.ceil(F.col("count") / LEAF).alias("in_all"), F.ceil(F.col("off") / LEAF).alias("blocks"))
+            "node", "print", F.coalesce(F.col("known") != F.col("main"), F.lit(True)).alias("is_off"), F.ceil(F.col("count") / side).alias("in_all"), F.ceil(F.col("off") / side).alias("blocks"))
         others = placed.select("node", "print", F.pmod(F.xxhash64("print", F.lit(SEED + 1)), "in_all").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         off = placed.where("is_off").withColumn("block", F.pmod(F.xxhash64("print", F.lit(SEED + 2)), "blocks"))
         those = off.select("node", "print", F.explode(F.sequence(F.lit(0).cast("long"), F.col("in_all") - 1)).alias("at"), "block")
@@ -269,7 +277,7 @@ class Join:
         """(grp, print) of groups that likely pairs connect; of groups with equal members one."""
         groups = saved(groups.distinct(), "groups", tidy=False)
         count = max(partitions(self.spark), groups.count() // ROWS)
-        rows = groups.join(self.sets.select("print", "size", "sketch"), "print").join(self.labelled(), "print")
+        rows = groups.join(self.sets.select("print", "sketch"), "print").join(self.labelled(), "print")
 
         def run(table: pa.Table) -> pa.Table:
             grp = table.column("grp").to_numpy()
