@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracewarden.plans import queries
-from tracewarden.streaming import packed, watch
+from tracewarden.streaming import dialects, packed, watch
 
 
 class State:
@@ -92,6 +92,19 @@ def test_sessions_of_a_bucket_keep_their_own_buffers():
     assert seen(("b", 7, 10, "y"), ("b", 6, None, "x")) == [(6, 3, 3, 1, 50, 50, "y"), (7, 3, 3, 1, 50, 50, "y")]
 
 
+def test_logs_of_a_bucket_are_locked_apart():
+    schema = pa.schema([("log", pa.string()), ("segment", pa.int64()), ("seq", pa.int64()), ("value", pa.string()), ("code", pa.int32())])
+    processor = started(dialects._DialectLock(2, schema))
+
+    def seen(*found):
+        return sorted((r["log"], r["segment"], r["seq"]) for r in told(processor, pa.Table.from_pylist([dict(zip(schema.names, (log, a, b, "v", code))) for log, a, b, code in found], schema)))
+
+    assert seen(("a", 0, 0, 0), ("a", 1, 0, 1), ("a", 1, 1, 0), ("b", 1, 0, 2), ("c", 2, 0, 1), ("c", 2, 1, 1), ("c", 1, 0, 0)) == [
+        ("a", 1, 0), ("a", 1, 1), ("c", 2, 0), ("c", 2, 1)]
+    assert seen(("a", 0, 1, 1), ("a", 2, 0, 0), ("c", 3, 0, 0)) == [("a", 2, 0), ("c", 3, 0)]
+    assert seen(("b", 0, 0, 0), ("b", 0, 1, 3)) == [("b", 0, 1), ("b", 1, 0)]
+
+
 def test_rows_land_once_and_leave_the_settings(spark):
     before, places = spark.conf.get("spark.sql.shuffle.partitions"), []
     spark.conf.set("spark.sql.shuffle.partitions", "50")
