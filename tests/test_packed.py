@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracewarden.plans import queries
-from tracewarden.streaming import dialects, packed, watch
+from tracewarden.streaming import dialects, packed, presence, watch
 
 
 class State:
@@ -105,6 +105,21 @@ def test_logs_of_a_bucket_are_locked_apart():
     assert seen(("b", 0, 0, 0), ("b", 0, 1, 3)) == [("b", 0, 1), ("b", 1, 0)]
 
 
+def test_agents_of_a_bucket_are_told_apart():
+    processor = started(presence._Presence(10, 15))
+
+    def seen(found, now):
+        frames = processor.handleInputRows((0,), iter([pd.DataFrame(found, columns=["agent_key", "at_ms"])]), Now(now))
+        return sorted(tuple(r) for f in frames for r in f.itertuples(index=False))
+
+    assert seen([("a", 0), ("a", 10), ("b", 0), ("a", 0), ("c", 90)], 30) == [
+        ("a", 0, "new"), ("a", 20, "stopped"), ("b", 0, "new"), ("b", 10, "stopped"), ("b", 30, "reaped")]
+    assert seen([("a", 40), ("b", 60)], 70) == [
+        ("a", 40, "returned"), ("a", 50, "stopped"), ("a", 70, "reaped"), ("b", 60, "returned"), ("b", 70, "stopped")]
+    last = processor.handleExpiredTimer((0,), Now(100), None)
+    assert sorted(tuple(r) for f in last for r in f.itertuples(index=False)) == [("b", 90, "reaped"), ("c", 90, "new"), ("c", 100, "stopped")]
+
+
 def test_rows_land_once_and_leave_the_settings(spark):
     before, places = spark.conf.get("spark.sql.shuffle.partitions"), []
     spark.conf.set("spark.sql.shuffle.partitions", "50")

@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tracewarden.streaming import packed
 from tracewarden.streaming.watch import ROCKSDB
 
 EVENTS = "agent_key string, at_ms long, event string"
 
 
+AGENTS = pa.schema([("agent_key", pa.string()), ("last", pa.int64()), ("gone", pa.bool_()), ("reaped", pa.bool_())])
+SEEN = pa.schema([("agent_key", pa.string()), ("at_ms", pa.int64())])
+
+
 class _Presence(StatefulProcessor):
-    """One agent: sightings the watermark has not reached, the last certain one, and what became of it since.
+    """The agents of a bucket: sightings the watermark has not reached, the last certain ones, and what became of each since.
 
     A moment (a sighting, the snapshot an agent is missing from, the one that reaps it) is told once the watermark has
     come to it, so the order in which sightings arrive does not matter as long as they are not late.
@@ -27,60 +33,75 @@ class _Presence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "at_ms long", "seen boolean")
-        self.life = handle.getValueState("life", "last long, gone boolean, reaped boolean")
-
-    def _advance(self, key, now: int) -> list[tuple[str, int, str]]:
-        """Events of all moments up to ``now``; a timer is set for the next one."""
-        last, gone, reaped = self.life.get() if self.life.exists() else (None, False, False)
-        waiting = sorted(at for (at,) in self.held.keys())
-        told, place = [], 0
-        while True:
-            seen = waiting[place] if place < len(waiting) else None
-            due = None
-            if last is not None and not reaped:
-                due = last + self.every + (self.reap if gone else 0)
-            moment = min((m for m in (seen, due) if m is not None), default=None)
-            if moment is None or moment > now:
-                break
-            if moment == seen:
-                if last is None:
-                    told.append((key[0], moment, "new"))
-                elif gone:
-                    # Back at the very snapshot that would have reaped it: not reaped.
-                    told.append((key[0], moment, "returned"))
-                last, gone, reaped = moment, False, False
-                self.held.removeKey((moment,))
-                place += 1
-            else:
-                told.append((key[0], moment, "reaped" if gone else "stopped"))
-                gone, reaped = True, gone
-        if last is not None:
-            self.life.update((last, gone, reaped))
-        if moment is not None:
+        self.held = handle.getValueState("held", "rows binary")
+        self.life = handle.getValueState("life", "rows binary, next long")
+
+    def _advance(self, new: pd.DataFrame | None, now: int) -> pd.DataFrame:
+        """Events of all moments up to ``now``; a timer is set for the next one of any agent."""
+        blob, following = self.life.get() if self.life.exists() else (None, None)
+        if new is None and (following is None or following > now):
+            return pd.DataFrame([], columns=["agent_key", "at_ms", "event"])
+        agents = _frame(blob, AGENTS).set_index("agent_key")
+        seen = _frame(self.held.get()[0] if self.held.exists() else None, SEEN)
+        if new is not None:
+            last = new["agent_key"].map(agents["last"])
+            seen = pd.concat([seen, new[last.isna() | (new["at_ms"] > last)]]).drop_duplicates()
+        seen = seen.sort_values(["agent_key", "at_ms"], ignore_index=True)
+        due, waiting = seen[seen["at_ms"] <= now], seen[seen["at_ms"] > now]
+        told = []
+
+        def tell(rows: pd.DataFrame, at: pd.Series, event: str, which: pd.Series) -> None:
+            told.append(pd.DataFrame({"agent_key": rows["agent_key"][which], "at_ms": at[which].astype("int64"), "event": event}))
+
+        # From sighting to sighting: the one before is the agent's last certain one at first.
+        at, first = due["at_ms"], due["agent_key"] != due["agent_key"].shift()
+        before = at.shift().where(~first, due["agent_key"].map(agents["last"])).astype("float64")
+        gone = first & due["agent_key"].map(agents["gone"]).eq(True)
+        reaped = first & due["agent_key"].map(agents["reaped"]).eq(True)
+        stops = ~gone & (before + self.every < at)
+        gone |= stops
+        tell(due, at, "new", before.isna())
+        tell(due, before + self.every, "stopped", stops)
+        tell(due, before + self.every + self.reap, "reaped", gone & ~reaped & (before + self.every + self.reap < at))
+        # Back at the very snapshot that would have reaped it: not reaped.
+        tell(due, at, "returned", gone)
+        # From the last sighting to now.
+        newest = due.drop_duplicates("agent_key", keep="last").rename(columns={"at_ms": "last"}).assign(gone=False, reaped=False)
+        agents = pd.concat([agents.drop(newest["agent_key"], errors="ignore").reset_index(), newest], ignore_index=True)
+        stops = ~agents["gone"] & (agents["last"] + self.every <= now)
+        agents["gone"] |= stops
+        ends = agents["gone"] & ~agents["reaped"] & (agents["last"] + self.every + self.reap <= now)
+        agents["reaped"] |= ends
+        tell(agents, agents["last"] + self.every, "stopped", stops)
+        tell(agents, agents["last"] + self.every + self.reap, "reaped", ends)
+        later = (agents["last"] + self.every + self.reap * agents["gone"])[~agents["reaped"]]
+        moments = [int(m.min()) for m in (waiting["at_ms"], later) if len(m)]
+        self.life.update((_blob(agents, AGENTS), min(moments, default=None)))
+        self.held.update((_blob(waiting, SEEN),))
+        if moments:
             # Timers before the watermark fire: one millisecond less, so that a watermark at the moment suffices.
-            self.handle.registerTimer(moment - 1)
-        return told
+            self.handle.registerTimer(min(moments) - 1)
+        return pd.concat(told, ignore_index=True)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.life.get()[0] if self.life.exists() else None
-        for part in rows:
-            for at in part["at_ms"].unique():
-                if last is None or at > last:
-                    self.held.updateValue((int(at),), (True,))
-        yield self._frame(self._advance(key, timer_values.getCurrentWatermarkInMs()))
+        new = pd.concat([part[["agent_key", "at_ms"]].drop_duplicates() for part in rows], ignore_index=True)
+        yield self._advance(new, timer_values.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._frame(self._advance(key, timerValues.getCurrentWatermarkInMs()))
-
-    @staticmethod
-    def _frame(told: list[tuple[str, int, str]]) -> pd.DataFrame:
-        return pd.DataFrame(told, columns=["agent_key", "at_ms", "event"])
+        yield self._advance(None, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
+def _frame(blob: bytes | None, schema: pa.Schema) -> pd.DataFrame:
+    return (schema.empty_table() if blob is None else packed.opened(blob, schema)).to_pandas()
+
+
+def _blob(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    return packed.closed(pa.Table.from_pandas(rows[schema.names], schema, preserve_index=False))
+
+
 def live_presence(
     sightings: DataFrame, every_seconds: float, reap_after_seconds: float = 60.0, lateness: str = "0 seconds"
 ) -> DataFrame:
@@ -90,7 +111,8 @@ def live_presence(
     operator ``agents.presence`` and stand at the snapshot they happen in. An agent is missing from a snapshot once the
     watermark (the newest sighting less ``lateness``) has come to it, so agents are told apart from late rows by the
     sightings of others; rows behind the watermark are dropped by Spark. Repeated sightings count once; rows without
-    key or time are left out. State per agent: one row, and its sightings that the watermark has not reached.
+    key or time are left out. State per agent: one row, and its sightings that the watermark has not reached; it is kept,
+    and timers are set, by buckets of agents.
     """
     sightings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = (
@@ -99,7 +121,7 @@ def live_presence(
         .withWatermark("taken_at", lateness)
         .withColumn("at_ms", F.unix_millis("taken_at"))
     )
-    told = rows.groupBy("agent_key").transformWithStateInPandas(
+    told = rows.withColumn("bucket", packed.bucket("agent_key")).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Presence(round(every_seconds * 1000), round(reap_after_seconds * 1000)),
         outputStructType=EVENTS,
         outputMode="Append",
